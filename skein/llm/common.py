@@ -83,3 +83,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table; Python workers on this machine are also told where this package is."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")

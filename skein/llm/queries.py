@@ -7,8 +7,24 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, matroska, packing
-from .common import documents
+from . import bpe, line_dedup, matroska, packing, quality_rules, sharding, toxicity
+from .common import documents, labels
+
+
+def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(documents(spark, sf_dir), n=8)
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.clean(documents(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(documents(spark, sf_dir)).select(*quality_rules.COLUMNS)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +40,8 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_packing, op8_byte_bpe, op10_media_columns)}
+    return {f.__name__: f for f in (op1_hilbert_sharding, op2_packing, op3_line_dedup, op5_quality_rules, op8_byte_bpe, op9_toxicity, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_line_dedup": line_dedup.SQL, "op5_quality_rules": quality_rules.SQL}
