@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -87,3 +88,17 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def drop(table: DataFrame) -> None:
+    """Deletes a scratch table from which everything has been read that will be."""
+    spark = session(table)
+    for folder in {x.rsplit("/", 1)[0] for x in table.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark find out which shuffles nothing needs any more, so that their files go."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, matroska, packing, quality_rules, sharding, toxicity
+from . import bpe, line_dedup, matroska, ngram_join, packing, quality_rules, sharding, token_files, toxicity, weak_labels
 from .common import documents, labels
 
 
@@ -19,6 +19,14 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.clean(documents(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.write_and_read(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+def op6_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.classify(documents(spark, sf_dir))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(documents(spark, sf_dir)).select(*quality_rules.COLUMNS)
 
@@ -31,6 +39,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), length=2048, end_id=1)
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir), n=4, percent=85)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -40,7 +52,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_hilbert_sharding, op2_packing, op3_line_dedup, op5_quality_rules, op8_byte_bpe, op9_toxicity, op10_media_columns)}
+    return {f.__name__: f for f in (op1_hilbert_sharding, op2_packing, op3_line_dedup, op4_token_files, op5_quality_rules, op6_weak_labels, op7_ngram_join, op8_byte_bpe, op9_toxicity, op10_media_columns)}
 
 
 def oracle_sql() -> dict[str, str]:
