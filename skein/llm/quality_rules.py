@@ -81,7 +81,7 @@ def rules() -> list[Rule]:
         Rule("symbols", 100 * F.col("n_symbols") > 10 * F.col("word_chars")),
         Rule("short_words", F.col("word_chars") < 2 * F.col("n_words")),
         Rule("long_words", F.col("word_chars") > 20 * F.col("n_words")),
-        Rule("repeated_lines", 100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
+        Rule("repeated_lines", (F.col("n_dup_lines") >= 3) & (100 * F.col("n_dup_lines") > 30 * F.col("n_lines"))),
         Rule("shouting", 100 * upper > 60 * (upper + lower)),
         Rule("few_letters", 100 * other > 50 * F.col("word_chars")),
     ]
@@ -158,6 +158,6 @@ m AS (SELECT w.doc_id, t, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 100 * n_symbols > 10 * word_chars OR word_chars < 2 * n_words OR word_chars > 20 * n_words
-            OR 100 * n_dup_lines > 30 * n_lines OR 100 * upper > 60 * (upper + lower) OR 100 * other > 50 * word_chars) AS kept
+            OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines) OR 100 * upper > 60 * (upper + lower) OR 100 * other > 50 * word_chars) AS kept
 FROM b
 """
