@@ -22,6 +22,8 @@ from .quality_rules import SYMBOLS, occurrences, words
 TRAIN_ROWS = 6_000
 #: Base-2 logarithm of the buckets that levels and character n-grams are hashed to; the n-grams' sizes.
 BITS, SIZES = 16, (3,)
+#: Shares of n-grams are of so many at least, so that a few letters decide little.
+LEAST_GRAMS = 200
 #: Frequent words of four languages.
 FUNCTION_WORDS = "a al and are as at au be by con das de del den der des die du ein el en es et for from he in is ist it la las le les los of on or par pour que qui sur that the this to un una und une von was with you zu".split()
 
@@ -57,12 +59,12 @@ def labellers() -> list[Labeller]:
     return [
         Labeller("repeats", _share(c("n_adjacent"), c("n_words"), 5), 0.05, 0.2, steps),
         Labeller("symbols", _share(c("n_symbols"), c("n_chars")), 0.02, 0.06, steps),
+        Labeller("loose_marks", _share(c("n_loose"), c("n_words"), 5), 0.02, 0.15, steps),
         Labeller("shouting", _share(c("n_upper"), c("n_upper") + c("n_lower"), 5), 0.25, 0.6, steps),
-        Labeller("no_function_words", _share(c("n_words") - c("n_function"), c("n_words"), 8), 0.92, 0.999, (0.5, 0.7, 0.8, 0.9, 0.95, 0.999)),
-        Labeller("punctuation", _share(c("n_other"), c("n_chars")), 0.15, 0.3, steps),
+        Labeller("no_function_words", _share(c("n_words") - c("n_function"), c("n_words"), 25), 0.92, 0.999, (0.5, 0.7, 0.8, 0.9, 0.95, 0.999)),
+        Labeller("punctuation", _share(c("n_other"), c("n_chars"), 150), 0.15, 0.3, steps),
         Labeller("word_length", _share(F.abs(c("n_chars") - 6.5 * c("n_words")), c("n_words"), 3), 4.0, 8.0, (1.0, 2.0, 3.0, 4.0, 6.0, 8.0)),
         Labeller("variety", _share(c("n_words") - c("n_distinct"), c("n_words"), 20), 0.75, 0.9, (0.2, 0.4, 0.6, 0.75, 0.9, 0.97)),
-        Labeller("too_short", F.when(c("n_words") < 3, F.lit(1.0)).when(c("n_words") >= 20, F.lit(0.0)), 0.5, 0.75, (0.5,)),
     ]
 
 
@@ -79,6 +81,7 @@ def statistics(docs: DataFrame, keep: list[Column]) -> DataFrame:
         F.size(F.array_distinct(w)).alias("n_distinct"),
         F.size(F.filter(w, lambda x: x.isin(known))).alias("n_function"),
         F.size(F.filter(w, lambda x, i: x == F.get(F.col("_words"), i - 1))).alias("n_adjacent"),
+        F.size(F.filter(w, lambda x: x.isin(list(SYMBOLS)))).alias("n_loose"),
         occurrences(t, SYMBOLS).alias("n_symbols"),
         occurrences(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
         occurrences(t, "abcdefghijklmnopqrstuvwxyz").alias("n_lower"),
@@ -88,21 +91,21 @@ def statistics(docs: DataFrame, keep: list[Column]) -> DataFrame:
 
 @dataclass
 class LabelModel:
-    """P(good) and, by labeller, P(vote | class) for the votes -1, 0, +1; class 1 is good."""
+    """P(good) and, by labeller, P(vote | class) for the votes -1 and +1; class 1 is good. Who abstains says nothing."""
 
     prior: float
     tables: np.ndarray
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         votes = np.asarray(votes, np.int64).reshape(-1, len(self.tables))
-        logs = np.log(self.tables)
-        sums = sum(logs[k][:, votes[:, k] + 1] for k in range(len(self.tables)))
-        return sigmoid(sums[1] - sums[0] + np.log(self.prior) - np.log1p(-self.prior))
+        gains = np.log(self.tables[:, 1]) - np.log(self.tables[:, 0])
+        sums = sum(np.where(votes[:, k] == 0, 0.0, gains[k][(votes[:, k] > 0).astype(int)]) for k in range(len(self.tables)))
+        return sigmoid(sums + np.log(self.prior) - np.log1p(-self.prior))
 
     def accuracies(self) -> np.ndarray:
         """How often each labeller is right when it votes."""
-        right = self.prior * self.tables[:, 1, 2] + (1 - self.prior) * self.tables[:, 0, 0]
-        wrong = self.prior * self.tables[:, 1, 0] + (1 - self.prior) * self.tables[:, 0, 2]
+        right = self.prior * self.tables[:, 1, 1] + (1 - self.prior) * self.tables[:, 0, 0]
+        wrong = self.prior * self.tables[:, 1, 0] + (1 - self.prior) * self.tables[:, 0, 1]
         return right / (right + wrong)
 
 
@@ -110,15 +113,15 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> LabelM
     """Expectation-maximisation over vote patterns and their counts, begun from the votes' majority."""
     votes, counts = np.asarray(votes, np.int64), np.asarray(counts, float)
     n = votes.shape[1]
-    model = LabelModel(0.8, np.full((n, 2, 3), 1 / 3))
+    model = LabelModel(0.8, np.full((n, 2, 2), 0.5))
     good = sigmoid(2.0 * votes.sum(axis=1))
     # A vote against is the stronger one: most labellers pass what is bad in another way.
     good = np.where((votes < 0).any(axis=1), np.minimum(good, 0.3), good)
     for _ in range(rounds):
-        tables = np.empty((n, 2, 3))
+        tables = np.empty((n, 2, 2))
         for k in range(n):
             for side, weight in ((0, counts * (1 - good)), (1, counts * good)):
-                tables[k, side] = np.bincount(votes[:, k] + 1, weights=weight, minlength=3) + 1
+                tables[k, side] = np.bincount(votes[:, k] + 1, weights=weight, minlength=3)[[0, 2]] + 1
         tables /= tables.sum(axis=2, keepdims=True)
         prior = float(np.clip((counts @ good + 1) / (counts.sum() + 2), 0.01, 0.99))
         new = LabelModel(prior, tables)
@@ -134,7 +137,7 @@ def label_model(docs: DataFrame) -> LabelModel:
     judges = labellers()
     seen = statistics(docs, []).select(*[x.vote().alias(x.name) for x in judges]).groupBy(*[x.name for x in judges]).count().collect()
     if not seen:
-        return LabelModel(0.5, np.full((len(judges), 2, 3), 1 / 3))
+        return LabelModel(0.5, np.full((len(judges), 2, 2), 0.5))
     return estimate(np.array([x[:-1] for x in seen]), np.array([x[-1] for x in seen]))
 
 
@@ -151,7 +154,7 @@ class Scorer:
     def scores(self, texts: list[str], levels: np.ndarray) -> np.ndarray:
         sums = self.weights[levels].sum(axis=1)
         for owner, bucket in grams(texts, SIZES, BITS):
-            n = np.maximum(np.bincount(owner, minlength=len(texts)), 1)
+            n = np.maximum(np.bincount(owner, minlength=len(texts)), LEAST_GRAMS)
             sums += np.bincount(owner, weights=self.weights[bucket], minlength=len(texts)) / n
         return sigmoid(sums + self.bias)
 
@@ -175,7 +178,7 @@ def fit(docs: DataFrame, model: LabelModel, rows: int = TRAIN_ROWS) -> Scorer:
             total = np.bincount(own, weights=counts, minlength=n)
             cut = np.searchsorted(own, np.arange(1, n))
             columns = [x.astype("<u4").tobytes() for x in np.split(keys & ((1 << BITS) - 1), cut)]
-            values = [x.astype("<f4").tobytes() for x in np.split(counts / np.maximum(total, 1)[own], cut)]
+            values = [x.astype("<f4").tobytes() for x in np.split(counts / np.maximum(total, LEAST_GRAMS)[own], cut)]
             yield pa.RecordBatch.from_arrays([pa.array(columns, pa.binary()), pa.array(values, pa.binary()), batch.column(1), batch.column(2)], names=["columns", "values", "votes", "levels"])
 
     seen = shown.mapInArrow(entries, "columns binary, values binary, votes array<int>, levels array<int>").collect()
