@@ -13,9 +13,10 @@ from .common import scratch, session, slices
 from .linear import BITS, SIZES, Model, distinct_hits, grams, logistic
 
 #: Labelled documents that training takes, chosen by a hash of their ids: about so many where there are more.
-TRAIN_ROWS = 20_000
-#: n-grams must be in so many training documents, and differ between the classes by this chi-square value (a chance of 0.001).
-LEAST_DOCUMENTS, LEAST_CHI2, MOST_FEATURES = 4, 10.8, 1 << 15
+TRAIN_ROWS = 16_000
+#: n-grams must be in so many training documents, and differ between the classes by this chi-square value (a chance of 0.001)
+#: and this log-count ratio at least; the ratio keeps out n-grams that only tell long texts from short ones.
+LEAST_DOCUMENTS, LEAST_CHI2, LEAST_RATIO, MOST_FEATURES = 4, 10.8, 1.0, 1 << 14
 #: Tasks that read the training documents, whose number is bounded.
 TASKS = 16
 SMOOTHING = 1.0
@@ -66,7 +67,8 @@ def train(rows: DataFrame, sizes: tuple[int, ...] = SIZES, bits: int = BITS) ->
     both = F.col("pos") + F.col("neg")
     expected = both * F.lit(n_pos / n)
     chi2 = F.pow(F.col("pos") - expected, 2) / (expected * F.lit(n_neg / n) * (1 - both / F.lit(n + 1)))
-    chosen = counts.where(both >= LEAST_DOCUMENTS).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "bucket").limit(MOST_FEATURES).collect()
+    ratio = F.log((F.col("pos") + SMOOTHING) / sum_pos) - F.log((F.col("neg") + SMOOTHING) / sum_neg)
+    chosen = counts.where(both >= LEAST_DOCUMENTS).withColumn("chi2", chi2).where((F.col("chi2") >= LEAST_CHI2) & (F.abs(ratio) >= LEAST_RATIO)).orderBy(F.desc("chi2"), "bucket").limit(MOST_FEATURES).collect()
     buckets = np.array([x["bucket"] for x in chosen], np.int64)
     ratio = np.array([np.log((x["pos"] + SMOOTHING) / sum_pos) - np.log((x["neg"] + SMOOTHING) / sum_neg) for x in chosen])
     place = np.zeros(1 << bits, np.int32)
