@@ -84,7 +84,8 @@ def clean(docs: DataFrame, site: str = "source", sites: int = SITES, least_words
     gone = scratch(gone.select(F.col("doc").alias("_gdoc"), F.col("dh").alias("_gdh"), "_gone"), "gone-lines")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     a, b = row_key(F.col("doc_id"), text)
-    joined = docs.join(gone, (a == F.col("_gdoc")) & (b == F.col("_gdh")), "left")
+    # One row for each document that loses lines, so never broadcast.
+    joined = docs.join(gone.hint("merge"), (a == F.col("_gdoc")) & (b == F.col("_gdh")), "left")
     split = F.split(F.col("text"), "\n")
     # Each position is looked up once; a document's removed positions are its own lines and so bounded by it.
     left = F.filter(split, lambda _, i: ~F.array_contains(F.col("_gone"), i))
