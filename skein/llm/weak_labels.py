@@ -6,17 +6,18 @@ bounded size, are all that estimating needs. The posterior of a document's votes
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import session, slices
 from .linear import grams, logistic, sigmoid
-from .quality_rules import SYMBOLS, occurrences, words
+from .quality_rules import SYMBOLS
+from .shingles import mix, word_hashes
 
 #: Documents that the scorer learns from, chosen by a hash of their ids: about so many where there are more.
 TRAIN_ROWS = 6_000
@@ -31,65 +32,83 @@ AGAINST, STRENGTH = (0.3, 0.002), 3.0
 FUNCTION_WORDS = "a al and are as at au be by con das de del den der des die du ein el en es et for from he in is ist it la las le les los of on or par pour que qui sur that the this to un una und une von was with you zu".split()
 
 
+#: Classes of characters, one digit for each ASCII code: 1 upper case, 2 lower case, 3 space, 4 symbol, 5 other mark or digit.
+_CLASS = np.array([3 if chr(c) in " \t\n\x0b\x0c\r" else 1 if "A" <= chr(c) <= "Z" else 2 if "a" <= chr(c) <= "z" else 4 if chr(c) in SYMBOLS else 5 if 32 < c < 127 else 0 for c in range(128)] + [0], np.int64)
+
+
+def statistics(texts: list[str]) -> dict[str, np.ndarray]:
+    """Counts of every whole text: words, characters of words, and what labellers look for."""
+    n = len(texts)
+    hashes, n_words = word_hashes([x.encode() for x in texts])
+    owner = np.repeat(np.arange(n), n_words)
+    count = lambda which: np.bincount(owner[which], minlength=n)
+    again = np.flatnonzero((hashes[1:] == hashes[:-1]) & (owner[1:] == owner[:-1])) + 1
+    first = np.unique(hashes ^ mix(owner.astype(np.uint64)), return_index=True)[1]
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    place = np.repeat(np.arange(n) * 8, [len(x) for x in texts])
+    chars = np.bincount(place + _CLASS[np.minimum(codes, 128)], minlength=8 * n).reshape(n, 8)
+    return {
+        "n_words": n_words,
+        "n_chars": chars.sum(axis=1) - chars[:, 3],
+        "n_distinct": count(first),
+        "n_function": count(np.isin(hashes, _FUNCTION)),
+        "n_loose": count(np.isin(hashes, _LOOSE)),
+        "n_adjacent": count(again),
+        "n_symbols": chars[:, 4],
+        "n_upper": chars[:, 1],
+        "n_lower": chars[:, 2],
+        "n_other": chars[:, 4] + chars[:, 5],
+    }
+
+
+_FUNCTION = word_hashes([x.encode() for x in FUNCTION_WORDS])[0]
+_LOOSE = word_hashes([x.encode() for x in SYMBOLS])[0]
+
+
 @dataclass(frozen=True)
 class Labeller:
-    """Votes +1 where `value` is up to `good`, -1 where it is over `bad`; null abstains. `cuts` make the levels that are hashed."""
+    """Votes +1 where its value is up to `good`, -1 where it is over `bad`, and abstains elsewhere and on NaN.
+
+    `value` is a share of which less is better; `cuts` make the levels that are hashed.
+    """
 
     name: str
-    value: Column
+    value: Callable[[dict[str, np.ndarray]], np.ndarray]
     good: float
     bad: float
     cuts: tuple[float, ...]
 
-    def vote(self) -> Column:
-        return F.when(self.value <= self.good, 1).when(self.value > self.bad, -1).otherwise(0)
-
-    def level(self) -> Column:
-        level = F.lit(0)
-        for cut in self.cuts:
-            level = level + F.when(self.value > cut, 1).otherwise(0)
-        return F.when(self.value.isNull(), -1).otherwise(level)
-
-
-def _share(part: Column, whole: Column, least: int = 1) -> Column:
-    return F.when(whole >= least, part / whole)
-
-
-def labellers() -> list[Labeller]:
-    """On the columns of statistics(). Shares are such that less is better."""
-    c = F.col
-    steps = (0.01, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7)
-    return [
-        Labeller("repeats", _share(c("n_adjacent"), c("n_words"), 5), 0.05, 0.2, steps),
-        Labeller("symbols", _share(c("n_symbols"), c("n_chars")), 0.02, 0.06, steps),
-        Labeller("loose_marks", _share(c("n_loose"), c("n_words"), 5), 0.02, 0.15, steps),
-        Labeller("shouting", _share(c("n_upper"), c("n_upper") + c("n_lower"), 5), 0.25, 0.6, steps),
-        Labeller("no_function_words", _share(c("n_words") - c("n_function"), c("n_words"), 25), 0.92, 0.999, (0.5, 0.7, 0.8, 0.9, 0.95, 0.999)),
-        Labeller("punctuation", _share(c("n_other"), c("n_chars"), 150), 0.15, 0.3, steps),
-        Labeller("word_length", _share(F.abs(c("n_chars") - 6.5 * c("n_words")), c("n_words"), 3), 4.0, 8.0, (1.0, 2.0, 3.0, 4.0, 6.0, 8.0)),
-        Labeller("variety", _share(c("n_words") - c("n_distinct"), c("n_words"), 20), 0.75, 0.9, (0.2, 0.4, 0.6, 0.75, 0.9, 0.97)),
-    ]
-
-
-def statistics(docs: DataFrame, keep: list[Column]) -> DataFrame:
-    """`keep`, `_text` and the counts from which labellers vote, for every whole text; a null text counts as empty."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    step = docs.select(*keep, text.alias("_text")).select("*", words(F.col("_text")).alias("_words"))
-    t, w = F.col("_text"), F.col("_words")
-    known = [*FUNCTION_WORDS, *[x.capitalize() for x in FUNCTION_WORDS]]
-    return step.select(
-        "*",
-        F.size(w).alias("n_words"),
-        F.char_length(F.translate(t, " \t\n\x0b\f\r", "")).alias("n_chars"),
-        F.size(F.array_distinct(w)).alias("n_distinct"),
-        F.size(F.filter(w, lambda x: x.isin(known))).alias("n_function"),
-        F.size(F.filter(w, lambda x, i: x == F.get(F.col("_words"), i - 1))).alias("n_adjacent"),
-        F.size(F.filter(w, lambda x: x.isin(list(SYMBOLS)))).alias("n_loose"),
-        occurrences(t, SYMBOLS).alias("n_symbols"),
-        occurrences(t, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper"),
-        occurrences(t, "abcdefghijklmnopqrstuvwxyz").alias("n_lower"),
-        occurrences(t, "0123456789!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~").alias("n_other"),
-    ).drop("_words")
+    def judge(self, counts: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """(votes, levels); a level of 0 means that there is no value."""
+        x = self.value(counts)
+        known = ~np.isnan(x)
+        votes = np.where(known & (x <= self.good), 1, np.where(known & (x > self.bad), -1, 0))
+        return votes, np.where(known, 1 + np.searchsorted(self.cuts, np.where(known, x, 0), side="left"), 0)
+
+
+def _share(part: np.ndarray, whole: np.ndarray, least: int = 1) -> np.ndarray:
+    return np.where(whole >= least, part / np.maximum(whole, 1), np.nan)
+
+
+_STEPS = (0.01, 0.02, 0.05, 0.1, 0.2, 0.4, 0.7)
+LABELLERS = [
+    Labeller("repeats", lambda c: _share(c["n_adjacent"], c["n_words"], 5), 0.05, 0.2, _STEPS),
+    Labeller("symbols", lambda c: _share(c["n_symbols"], c["n_chars"]), 0.02, 0.06, _STEPS),
+    Labeller("loose_marks", lambda c: _share(c["n_loose"], c["n_words"], 5), 0.02, 0.15, _STEPS),
+    Labeller("shouting", lambda c: _share(c["n_upper"], c["n_upper"] + c["n_lower"], 5), 0.25, 0.6, _STEPS),
+    Labeller("no_function_words", lambda c: _share(c["n_words"] - c["n_function"], c["n_words"], 25), 0.92, 0.999, (0.5, 0.7, 0.8, 0.9, 0.95, 0.999)),
+    Labeller("punctuation", lambda c: _share(c["n_other"], c["n_chars"], 150), 0.15, 0.3, _STEPS),
+    Labeller("word_length", lambda c: _share(np.abs(c["n_chars"] - 6.5 * c["n_words"]), c["n_words"], 3), 4.0, 8.0, (1.0, 2.0, 3.0, 4.0, 6.0, 8.0)),
+    Labeller("variety", lambda c: _share(c["n_words"] - c["n_distinct"], c["n_words"], 20), 0.75, 0.9, (0.2, 0.4, 0.6, 0.75, 0.9, 0.97)),
+]
+
+
+def judge(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(votes, buckets of levels), a row a text and a column a labeller."""
+    counts = statistics(texts)
+    found = [x.judge(counts) for x in LABELLERS]
+    place = (np.arange(len(LABELLERS)) * 16 + np.array([v[1] for v in found]).T) * 40503 % (1 << BITS)
+    return np.array([v[0] for v in found]).T.reshape(-1, len(LABELLERS)), place.reshape(-1, len(LABELLERS))
 
 
 @dataclass
@@ -137,18 +156,26 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> LabelM
     return model
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+
+
 def label_model(docs: DataFrame) -> LabelModel:
     """Estimated from the votes on all documents. To the driver go their distinct patterns, at most 3 ** labellers."""
-    judges = labellers()
-    seen = statistics(docs, []).select(*[x.vote().alias(x.name) for x in judges]).groupBy(*[x.name for x in judges]).count().collect()
-    if not seen:
-        return LabelModel(0.5, np.full((len(judges), 2, 2), 0.5))
-    return estimate(np.array([x[:-1] for x in seen]), np.array([x[-1] for x in seen]))
+    n = len(LABELLERS)
+    radix = 3 ** np.arange(n)
 
+    def patterns(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            votes, _ = judge(batch.column(1).to_pylist())
+            keys, counts = np.unique((votes + 1) @ radix, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["pattern", "n"])
 
-def _levels() -> Column:
-    """A bucket for each labeller's level."""
-    return F.array(*[F.pmod(F.xxhash64(F.lit(x.name), x.level()), F.lit(1 << BITS)).cast("int") for x in labellers()])
+    seen = _texts(docs).mapInArrow(patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n")).collect()
+    if not seen:
+        return LabelModel(0.5, np.full((n, 2, 2), 0.5))
+    keys = np.array([x[0] for x in seen])
+    return estimate(keys[:, None] // radix % 3 - 1, np.array([x[1] for x in seen]))
 
 
 @dataclass
@@ -168,14 +195,12 @@ def fit(docs: DataFrame, model: LabelModel, rows: int = TRAIN_ROWS) -> Scorer:
     """The scorer, from the posteriors of about `rows` documents at most. Features are levels and the shares of n-grams."""
     share = min(1.0, rows / max(1, docs.count()))
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * share))
-    votes = F.array(*[x.vote().cast("int") for x in labellers()])
-    shown = statistics(chosen, []).select("_text", votes.alias("votes"), _levels().alias("levels"))
-
     def entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            n = batch.num_rows
+        for batch in slices(batches):
+            n, texts = batch.num_rows, batch.column(1).to_pylist()
+            votes, levels = judge(texts)
             owners, buckets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for owner, bucket in grams(batch.column(0).to_pylist(), SIZES, BITS):
+            for owner, bucket in grams(texts, SIZES, BITS):
                 owners.append(owner.astype(np.int64))
                 buckets.append(bucket.astype(np.int64))
             keys, counts = np.unique(np.concatenate(owners) << BITS | np.concatenate(buckets), return_counts=True)
@@ -184,9 +209,9 @@ def fit(docs: DataFrame, model: LabelModel, rows: int = TRAIN_ROWS) -> Scorer:
             cut = np.searchsorted(own, np.arange(1, n))
             columns = [x.astype("<u4").tobytes() for x in np.split(keys & ((1 << BITS) - 1), cut)]
             values = [x.astype("<f4").tobytes() for x in np.split(counts / np.maximum(total, LEAST_GRAMS)[own], cut)]
-            yield pa.RecordBatch.from_arrays([pa.array(columns, pa.binary()), pa.array(values, pa.binary()), batch.column(1), batch.column(2)], names=["columns", "values", "votes", "levels"])
+            yield pa.RecordBatch.from_arrays([pa.array(columns, pa.binary()), pa.array(values, pa.binary()), pa.array(votes.tolist(), pa.list_(pa.int32())), pa.array(levels.tolist(), pa.list_(pa.int32()))], names=["columns", "values", "votes", "levels"])
 
-    seen = shown.mapInArrow(entries, "columns binary, values binary, votes array<int>, levels array<int>").collect()
+    seen = _texts(chosen).mapInArrow(entries, "columns binary, values binary, votes array<int>, levels array<int>").collect()
     n = len(seen)
     if not n:
         return Scorer(np.zeros(1 << BITS), 0.0)
@@ -203,33 +228,26 @@ def classify(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, weak_label (posterior of its votes), score and kept (score of 0.5 or more) of every row of documents."""
     model = label_model(docs)
     shared = session(docs).sparkContext.broadcast((model, fit(docs, model, rows)))
-    votes = F.array(*[x.vote().cast("int") for x in labellers()])
-    seen = statistics(docs, [F.col("doc_id").cast("long").alias("doc_id")]).select("doc_id", "_text", votes.alias("votes"), _levels().alias("levels"))
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, scorer = shared.value
-        for batch in slices(batches, "_text"):
-            width = len(model.tables)
-            votes, levels = (batch.column(k).flatten().to_numpy().reshape(-1, width) for k in (2, 3))
-            scores = scorer.scores(batch.column(1).to_pylist(), levels)
+        for batch in slices(batches):
+            texts = batch.column(1).to_pylist()
+            votes, levels = judge(texts)
+            scores = scorer.scores(texts, levels)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.posterior(votes)), pa.array(scores), pa.array(scores >= 0.5)], names=["doc_id", "weak_label", "score", "kept"])
 
-    return seen.mapInArrow(work, "doc_id long, weak_label double, score double, kept boolean")
+    return _texts(docs).mapInArrow(work, "doc_id long, weak_label double, score double, kept boolean")
 
 
 def keep_good(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of `docs` that score 0.5 or more, with their own columns."""
     shared = session(docs).sparkContext.broadcast(fit(docs, label_model(docs), rows))
-    names = docs.columns
-    row = F.struct(*[F.col(c) for c in names]).alias("_row")
-    seen = statistics(docs, [row]).select("_row", "_text", _levels().alias("_levels"))
-    at = len(labellers())
+    at = docs.columns.index("text")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text"):
-            scores = shared.value.scores(batch.column(1).to_pylist(), batch.column(2).flatten().to_numpy().reshape(-1, at))
-            rows = batch.column(0)
-            kept = pa.RecordBatch.from_arrays([rows.field(k) for k in range(len(names))], names=names)
-            yield kept.filter(pa.array(scores >= 0.5))
+        for batch in slices(batches):
+            texts = [x or "" for x in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(shared.value.scores(texts, judge(texts)[1]) >= 0.5))
 
-    return seen.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(work, docs.schema)
