@@ -1,7 +1,8 @@
 """Token ids of whole texts from the tokenizers library, in which each chunk between spaces is encoded once.
 
-Both pre-tokenizers used here end a piece before a space that a visible character follows, so a text falls apart there
-and equal chunks get equal ids. Texts for which that can't be said go to the library whole.
+Both pre-tokenizers used here end a piece before a space that a visible character follows, and before and after a line end
+between visible characters, so a text falls apart there and equal chunks get equal ids. Texts with runs of white space, for
+which that can't be said, go to the library whole.
 """
 
 from __future__ import annotations
@@ -12,12 +13,22 @@ from array import array
 from functools import lru_cache
 
 #: Chunks in each of a worker's two generations; when the younger is full, it takes the place of the elder.
-CACHE = 500_000
+CACHE = 450_000
 
-_SPACE_RUN = re.compile(r" (?:\s|\Z)")
+#: Letters below this code point are letters for every version of Unicode, and normal forms of themselves.
+_PLAIN = "\u0250"
+
+_HARD = re.compile(r"\s\s|\x00")
 _CONTROLS = re.compile("[\x1c-\x1f]")
 
 
+def _byte_letters() -> dict[int, str]:
+    """How byte-level vocabularies spell bytes: printable ones as themselves, all others from U+0100 on in their order."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
+
+
 class ChunkEncoder:
     """`byte_level`: spaces belong to the pieces after them; otherwise white space is dropped."""
 
@@ -28,22 +39,41 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.byte_level = self.tokenizer.normalizer is None
+        self.tokenize, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.marks = {x: self._packed([x])[0] for x in ".,"}
         self.limit, self.cache, self.elder = cache, {}, {}
 
     def chunks(self, text: str) -> list[str] | None:
         """The chunks of a text; None if only the library can split it."""
         if self.byte_level:
-            if _SPACE_RUN.search(text):
+            if _HARD.search(text):
                 return None
-            first, *rest = text.split(" ")
-            rest = [" " + x for x in rest]
-            return [first, *rest] if first else rest
+            return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
         return None if _CONTROLS.search(text) else text.split()
 
     def _packed(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
+    def _word(self, chunk: str) -> bytes | None:
+        """The ids of a chunk that is one word of plain letters and a full stop or comma at most: the library's model gets the word as its pre-tokenizer would spell it. None for any other chunk."""
+        if not chunk:
+            return b""
+        word = chunk[:-1] if chunk[-1] in self.marks else chunk
+        if not self.byte_level:
+            word = word.lower()
+        body = word[1:] if self.byte_level and word[:1] == " " else word
+        if not body.isalpha():
+            return None
+        if word.isascii():
+            spelt = word.replace(" ", self.letters[32])
+        elif max(body) < _PLAIN:
+            spelt = word.encode().decode("latin-1").translate(self.letters)
+        else:
+            return None
+        ids = array("I", [x.id for x in self.tokenize(spelt)]).tobytes()
+        return ids if chunk[-1] not in self.marks else ids + self.marks[chunk[-1]]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         split = [self.chunks(x) for x in texts]
@@ -54,8 +84,14 @@ class ChunkEncoder:
             self.elder, self.cache = self.cache, {}
         missing = wanted - self.cache.keys()
         self.cache.update((x, self.elder[x]) for x in missing & self.elder.keys())
-        missing = list(missing - self.elder.keys())
-        self.cache.update(zip(missing, self._packed(missing), strict=True))
+        hard = []
+        for x in missing - self.elder.keys():
+            ids = self._word(x)
+            if ids is None:
+                hard.append(x)
+            else:
+                self.cache[x] = ids
+        self.cache.update(zip(hard, self._packed(hard), strict=True))
         whole = iter(self._packed([t for t, x in zip(texts, split, strict=True) if x is None]))
         get = self.cache.__getitem__
         return [next(whole) if x is None else b"".join(map(get, x)) for x in split]
