@@ -60,6 +60,8 @@ def read_file(data: bytes) -> tuple[list[int | None], list[bytes]]:
         if (magic, version) != (MAGIC, VERSION):
             raise Damaged("no token file of this version")
         tables = zlib.decompress(data[_HEAD.size : _HEAD.size + n_tables])
+        if len(tables) != 16 * (n_docs + n_blocks):
+            raise Damaged("the tables have another size")
     except (struct.error, zlib.error) as e:
         raise Damaged(str(e)) from e
     documents = np.frombuffer(tables, "<i8", 2 * n_docs).reshape(-1, 2)
