@@ -30,6 +30,29 @@ def reverse_direction(direction: Column) -> Column:
     return F.when(direction == "left_contains_right", "right_contains_left").when(direction == "right_contains_left", "left_contains_right").otherwise(direction)
 
 
+def migrate(rows: DataFrame) -> DataFrame:
+    """Earlier decisions of a model for a new version of its prompt: `interchangeable` and `contains` are kept as seeds, `different_capability` is
+    to be asked again, and others go. Adds `fate`, and relabels the source of seeds."""
+    fate = F.when(F.col("relation").isin("interchangeable", "contains"), "reused").when(F.col("relation") == "different_capability", "reconsider")
+    kept = rows.where(F.col("decision_source") == "llm").withColumn("fate", fate).where(F.col("fate").isNotNull())
+    return kept.withColumn("decision_source", F.when(F.col("fate") == "reused", "migrated_seed").otherwise(F.col("decision_source")))
+
+
+def override(decisions: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Decisions with the last human review (pair_id, seq, human_relation, human_direction) of their pair applied.
+
+    Older labels are made canonical; a direction stays only with `contains`. `review` tells confirmed from changed ones.
+    """
+    last = reviews.groupBy("pair_id").agg(F.max_by(F.struct("human_relation", "human_direction"), F.col("seq")).alias("_r"))
+    relation = canonical_relation(F.col("_r.human_relation"))
+    direction = F.when(relation == "contains", F.coalesce(F.col("_r.human_direction"), F.col("direction"))).otherwise("none")
+    rows = decisions.join(last, "pair_id", "left")
+    found = F.col("_r").isNotNull()
+    review = F.when(found & (relation == F.col("relation")) & (direction == F.col("direction")), "confirmed").when(found, "changed")
+    rows = rows.withColumn("review", review).withColumn("decision_source", F.when(found, "human").otherwise(F.col("decision_source")))
+    return rows.withColumn("direction", F.when(found, direction).otherwise(F.col("direction"))).withColumn("relation", F.when(found, relation).otherwise(F.col("relation"))).drop("_r")
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id that edges (left_id, right_id) reach, for each row of nodes (id).
 

@@ -27,13 +27,18 @@ def latest_by(df: DataFrame, keys: list[str], sequence: list[str]) -> DataFrame:
 
 
 def interleave(df: DataFrame, stratum: str, order: list[str]) -> DataFrame:
-    """Adds `position`: the first of each stratum by name, then the second of each, and so on."""
-    inside = Window.partitionBy(stratum).orderBy(*order)
-    ranked = df.withColumn("_rn", F.row_number().over(inside))
-    counts = ranked.groupBy("_rn").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_rn", F.coalesce(F.sum("_n").over(Window.orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    row = Window.partitionBy("_rn").orderBy(stratum)
-    return ranked.join(before, "_rn").withColumn("position", (F.col("_before") + F.row_number().over(row)).cast("long")).drop("_rn", "_before")
+    """Adds `position`: the first of each stratum by name, then the second of each, and so on. Strata are few; their counts go to the driver."""
+    counts = dict(df.groupBy(stratum).count().collect())
+    if not counts:
+        return df.withColumn("position", F.lit(None).cast("long"))
+    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(*order)).cast("long")
+    ranked = df.withColumn("_rn", rank)
+    # What comes before: all earlier ranks of every stratum, and this rank of the strata whose names come first.
+    before = F.lit(0).cast("long")
+    for name, n in counts.items():
+        here = (F.lit(name) <= F.col(stratum)) & (F.col("_rn") <= n)
+        before = before + F.least(F.lit(n), F.col("_rn") - 1) + F.when(here, 1).otherwise(0)
+    return ranked.withColumn("position", before).drop("_rn")
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, size: int, seed: int, order: list[str] | None = None) -> DataFrame:

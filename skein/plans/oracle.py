@@ -235,7 +235,8 @@ SELECT api, have, wanted, greatest(0, wanted - have) AS needed FROM p""",
     "cache_overlay": """WITH a AS (SELECT user_id, max(value) AS v FROM events WHERE event_type = 'view' GROUP BY 1), b AS (SELECT user_id, max(value) AS v FROM events WHERE event_type = 'click' GROUP BY 1)
 SELECT coalesce(b.user_id, a.user_id) AS user_id, CASE WHEN b.user_id IS NOT NULL THEN b.v ELSE a.v END AS value, CASE WHEN b.user_id IS NOT NULL THEN 'generated' ELSE 'official' END AS origin FROM a FULL JOIN b ON a.user_id = b.user_id""",
     "few_shot_examples": """WITH e AS (SELECT user_id AS api, event_id AS seq, CAST(json(props) AS VARCHAR) AS c, concat_ws(' => ', props, event_type) AS line FROM events),
-f AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY api ORDER BY seq) <= 6),
+i AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY api, c ORDER BY seq) = 1),
+f AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY api ORDER BY seq) <= 6),
 o AS (SELECT a.seq AS request_id, f.seq, f.line, row_number() OVER w AS n, sum(length(f.line) + 1) OVER w AS used FROM e a JOIN f ON f.api = a.api AND f.c <> a.c WINDOW w AS (PARTITION BY a.seq ORDER BY f.seq)),
 k AS (SELECT request_id, count(*) AS n_examples, string_agg(line, chr(10) ORDER BY seq) AS examples FROM o WHERE n <= 5 AND used <= 2048 GROUP BY 1)
 SELECT e.seq AS request_id, coalesce(n_examples, 0) AS n_examples, coalesce(examples, '') AS examples FROM e LEFT JOIN k ON k.request_id = e.seq""",
@@ -249,4 +250,14 @@ SELECT n.conv_id AS task_id, count(*) AS n_nodes, CAST(max(floor(log2(turn + 1))
     "tournament_scores": "WITH b AS (SELECT source, n_chars, count(*) AS n, coalesce(sum(count(*)) OVER (PARTITION BY source ORDER BY n_chars ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lower FROM documents GROUP BY 1, 2) SELECT source, doc_id, CAST(lower + (n - 1) * 0.5 AS DOUBLE) AS points FROM documents JOIN b USING (source, n_chars)",
     "call_index": "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS call_index FROM events",
     "stream_call_index": "SELECT user_id AS api_id, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS call_index FROM events",
+    "annotation_validation": f"""WITH {_DECISIONS} SELECT CASE WHEN seed % 11 = 0 OR score < 0 OR score > 1 THEN 'confidence_out_of_range' WHEN seed % 5 = 0 THEN 'empty_reasoning' ELSE 'ok' END AS error, count(*) AS n FROM decisions GROUP BY 1""",
+    "function_schemas": f"""WITH x AS (SELECT *, {_named('p_name')} || '_for_' || {_std('p_brand')} AS whole FROM part), y AS (SELECT *, right(whole, 64) AS name FROM x)
+SELECT p_partkey, name, 'This is the subfunction for tool "' || {_std('p_brand')} || '", you can use this tool.' || CASE WHEN trim(p_type) <> '' THEN 'The description of this function is: "' || left(replace(trim(p_type), p_name, name), 256) || '"' ELSE '' END AS description, 'size_of|integer|' || p_size AS property FROM y""",
+    "migration_split": f"WITH {_DECISIONS} SELECT relation, CASE WHEN relation = 'different_capability' THEN 'llm' ELSE 'migrated_seed' END AS decision_source, CASE WHEN relation = 'different_capability' THEN 'reconsider' ELSE 'reused' END AS fate, count(*) AS n FROM decisions WHERE decision_source = 'llm' GROUP BY 1, 2, 3",
+    "human_overrides": f"""WITH {_DECISIONS}, x AS (SELECT *, seed % 3 = 0 AS told, CASE WHEN wrong THEN 'different_capability' ELSE 'interchangeable' END AS human FROM decisions)
+SELECT pair_id, CASE WHEN told THEN human ELSE relation END AS relation, CASE WHEN told THEN 'none' ELSE direction END AS direction, CASE WHEN told THEN 'human' ELSE decision_source END AS decision_source,
+CASE WHEN NOT told THEN 'none' WHEN human = relation AND direction = 'none' THEN 'confirmed' ELSE 'changed' END AS review FROM x""",
+    "elo_shares": "SELECT event_id, round(pow(10.0, (value - max(value) OVER (PARTITION BY user_id)) / 400) / sum(pow(10.0, (value - m) / 400)) OVER (PARTITION BY user_id), 6) AS share FROM (SELECT *, max(value) OVER (PARTITION BY user_id) AS m FROM events)",
+    "first_event_per_user": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1",
+    "request_budget": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, count(DISTINCT user_id) AS users, round(count(*) FILTER (event_type = 'error') / count(*), 6) AS error_ratio FROM events GROUP BY 1",
 }

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..operators import classify, graph, qos, quality, retrieval, sampling, tasks, trajectory
+from ..operators import classify, graph, qos, quality, retrieval, sampling, tasks, trajectory, validation
 
 #: Seed of all draws, and the cosine from which two vectors count as interchangeable.
 SEED, SAME = 42, 0.55
@@ -464,3 +464,56 @@ def stream_call_index(spark, sf):
     schema = table(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).select(F.col("user_id").alias("api_id"), F.col("event_id").alias("seq"))
     return streaming.run_available(spark, streaming.number_calls(stream), streaming.scratch_folder(spark))
+
+
+@query
+def annotation_validation(spark, sf):
+    seed = ids.stable_seed(F.col("pair_id"))
+    answer = F.struct("relation", "direction", F.when(seed % 11 == 0, F.lit(1.5)).otherwise(F.col("score")).alias("confidence"), F.when(seed % 5 == 0, F.lit(" ")).otherwise(F.lit("because")).alias("reasoning"), F.array(F.lit("e")).alias("evidence"), (seed % 2 == 0).alias("needs_human_review"))
+    output = F.concat(F.lit("```json\n"), F.to_json(answer), F.lit("\n```"))
+    rows = decisions(spark, sf).select(validation.annotation_error(output).alias("error"))
+    return rows.groupBy(F.coalesce("error", F.lit("ok")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def function_schemas(spark, sf):
+    kind = "array<struct<name:string,type:string,description:string,default:string>>"
+    one = F.array(F.struct(F.lit("Size Of").alias("name"), F.lit("NUMBER").alias("type"), F.col("p_type").alias("description"), F.col("p_size").cast("string").alias("default"))).cast(kind)
+    made = validation.function_schema(F.col("p_name"), ids.standardize(F.col("p_brand")), F.col("p_type"), one, F.lit(None).cast(kind))
+    return table(spark, sf, "part").select("p_partkey", made["name"].alias("name"), made["description"].alias("description"), F.concat_ws("|", made["properties"][0]["name"], made["properties"][0]["type"], made["properties"][0]["example_value"]).alias("property"))
+
+
+@query
+def migration_split(spark, sf):
+    return graph.migrate(decisions(spark, sf)).groupBy("relation", "decision_source", "fate").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def human_overrides(spark, sf):
+    rows = decisions(spark, sf)
+    told = rows.where(ids.stable_seed(F.col("pair_id")) % 3 == 0)
+    human = F.when(F.col("left_label") == F.col("right_label"), "exact_duplicate").otherwise("uncertain")
+    first = told.select("pair_id", F.lit(1).alias("seq"), F.lit("contains").alias("human_relation"), F.lit("left_contains_right").alias("human_direction"))
+    last = told.select("pair_id", F.lit(2).alias("seq"), human.alias("human_relation"), F.lit(None).cast("string").alias("human_direction"))
+    return graph.override(rows, first.unionByName(last)).select("pair_id", "relation", "direction", "decision_source", F.coalesce("review", F.lit("none")).alias("review"))
+
+
+@query
+def elo_shares(spark, sf):
+    rows = tasks.softmax_bias(table(spark, sf, "events").select("event_id", "user_id", "value"), "value", "user_id")
+    return rows.select("event_id", F.round("share", 6).alias("share"))
+
+
+@query
+def first_event_per_user(spark, sf):
+    rows = table(spark, sf, "events").select("user_id", "event_id", "event_type", "ts")
+    return sampling.first_by(rows, ["user_id"], [F.asc("ts"), F.asc("event_id")]).select("user_id", "event_id", "event_type")
+
+
+@query
+def request_budget(spark, sf):
+    """Requests by day over decisions and errors, with zero-safe error ratios."""
+    e = table(spark, sf, "events")
+    failed = F.col("event_type") == "error"
+    rows = e.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("requests"), F.count_if(failed).alias("errors"), F.countDistinct("user_id").alias("users"))
+    return rows.withColumn("day", F.col("day").cast("string")).withColumn("error_ratio", F.round(quality.ratio(F.col("errors"), F.col("requests")), 6))
