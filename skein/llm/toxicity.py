@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import scratch, session, slices
-from .linear import BITS, SIZES, Model, distinct_hits, grams, logistic
+from .linear import BITS, SIZES, SLICE, Model, distinct_hits, grams, logistic
 
 #: Labelled documents that training takes, chosen by a hash of their ids: about so many where there are more.
 TRAIN_ROWS = 16_000
@@ -48,7 +48,7 @@ def train(rows: DataFrame, sizes: tuple[int, ...] = SIZES, bits: int = BITS) ->
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = np.zeros((2, 1 << bits), np.int64)
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             texts, y = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False) > 0.5
             found = np.unique(np.concatenate([np.zeros(0, np.int64), *[o.astype(np.int64) << bits | b for o, b in grams(texts, sizes, bits)]]))
             positive = y[found >> bits]
@@ -76,7 +76,7 @@ def train(rows: DataFrame, sizes: tuple[int, ...] = SIZES, bits: int = BITS) ->
     shared = spark.sparkContext.broadcast(place)
 
     def entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             owner, bucket = distinct_hits(batch.column(0).to_pylist(), shared.value, sizes, bits)
             columns = np.split((shared.value[bucket] - 1).astype("<u4"), np.searchsorted(owner, np.arange(1, batch.num_rows)))
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in columns], pa.binary()), batch.column(1)], names=["columns", "y"])
@@ -96,7 +96,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = session(docs).sparkContext.broadcast(model)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             values = shared.value.scores([x or "" for x in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values), pa.array((values >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
@@ -115,7 +115,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Da
     at = docs.columns.index("text")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             values = shared.value.scores([x or "" for x in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(values < 0.5))
 

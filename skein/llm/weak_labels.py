@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import session, slices
-from .linear import grams, logistic, sigmoid
+from .linear import SLICE, grams, logistic, sigmoid
 from .quality_rules import SYMBOLS
 from .shingles import mix, word_hashes
 
@@ -166,7 +166,7 @@ def label_model(docs: DataFrame) -> LabelModel:
     radix = 3 ** np.arange(n)
 
     def patterns(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             votes, _ = judge(batch.column(1).to_pylist())
             keys, counts = np.unique((votes + 1) @ radix, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(counts.astype(np.int64))], names=["pattern", "n"])
@@ -196,7 +196,7 @@ def fit(docs: DataFrame, model: LabelModel, rows: int = TRAIN_ROWS) -> Scorer:
     share = min(1.0, rows / max(1, docs.count()))
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * share))
     def entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             n, texts = batch.num_rows, batch.column(1).to_pylist()
             votes, levels = judge(texts)
             owners, buckets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -231,7 +231,7 @@ def classify(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, scorer = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             texts = batch.column(1).to_pylist()
             votes, levels = judge(texts)
             scores = scorer.scores(texts, levels)
@@ -246,7 +246,7 @@ def keep_good(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     at = docs.columns.index("text")
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             texts = [x or "" for x in batch.column(at).to_pylist()]
             yield batch.filter(pa.array(shared.value.scores(texts, judge(texts)[1]) >= 0.5))
 
