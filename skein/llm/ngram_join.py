@@ -2,7 +2,7 @@
 
 1. Documents with equal sets form a class, of which one goes on.
 2. Signatures of parts of its set (see shingles.Partition) say which others a document may link with. Each document is
-   compared with the first of every signature it shares; the links found make groups of similar documents.
+   compared with the first of the signatures it shares, in a few orders; the links found make groups of similar documents.
 3. The token-group matrix holds the union of the shingles of each group. It bounds how many shingles of a document a group
    can contain; only groups that reach what a link needs are opened, and their members that share a signature compared.
 Groups that the document is in already are never opened, which keeps thousands of near copies from being compared in pairs,
@@ -23,40 +23,81 @@ from .shingles import Partition, mix, shingle_sets
 
 #: Up to so many ids (8 bytes each) are broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 500_000
+#: Bytes of text that a worker hashes at once; its arrays take about fifty times as much.
+SLICE = 1 << 20
+#: How often documents are compared with the first of their signatures, in another order each time, to make groups.
+ROUNDS = 3
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def _bounds(lengths: list[int]) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
+
+
+def _size(meta: str) -> Column:
+    return F.col(meta).bitwiseAND(F.lit((1 << 30) - 1))
+
+
+def _filled(meta: str) -> Column:
+    return F.shiftright(meta, 30).bitwiseAND(F.lit((1 << 26) - 1))
+
+
+def needed(percent: int, meta: str, other: str | None = None) -> Column:
+    """How many signatures of one class a document shares with the `other` if they link, or with anyone it can link with."""
+    total = _size(meta) + (_size(other) if other else F.floor(_size(meta) * 100 / percent))
+    filled = F.greatest(_filled(meta), _filled(other)) if other else _filled(meta)
+    return F.greatest(F.lit(1), filled - F.floor(total * (100 - percent) / (100 + percent)))
+
+
+def overlap(percent: int, total: Column) -> Column:
+    """How many elements two sets that link have in common, if they have `total` together."""
+    return F.ceil(total * percent / (100 + percent))
+
+
 def set_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, h1 and h2 (hashes of the set), sigs, for every row; texts are read once."""
-    names = ["doc_id", "n_shingles", "h1", "h2", "sigs"]
+    """doc_id, n_shingles, h1 and h2 (hashes of the set), parts, for every row; texts are read once.
+
+    A part has the signatures of a class, and `meta`: from the highest byte on, the class, how many parts aren't empty (26
+    bits) and the size of the set (30 bits).
+    """
+    names = ["doc_id", "n_shingles", "h1", "h2", "parts"]
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         partition = Partition(percent)
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             sets = shingle_sets([x or "" for x in batch.column(1).to_pylist()], n)
             sizes = np.array([len(x) for x in sets], np.int64)
             h1, h2 = (np.array([mix(x ^ np.uint64(c)).sum(dtype=np.uint64) for x in sets], np.uint64) for c in (0x1234567, 0x89ABCDEF))
             sigs = partition.signatures(sets)
-            bounds = np.concatenate([[0], np.cumsum([len(x) for x in sigs])]).astype(np.int32)
-            flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *sigs]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.ListArray.from_arrays(pa.array(bounds), flat)], names=names)
+            jobs = [x for own in sigs for x in own]
+            flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *[x[2] for x in jobs]]).view(np.int64))
+            inner = pa.ListArray.from_arrays(_bounds([len(x[2]) for x in jobs]), flat)
+            meta = [c << 56 | filled << 30 | len(x) for x, own in zip(sets, sigs, strict=True) for c, filled, _ in own]
+            structs = pa.StructArray.from_arrays([pa.array(meta, pa.int64()), inner], names=["meta", "sigs"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.ListArray.from_arrays(_bounds([len(x) for x in sigs]), structs)], names=names)
 
-    return _narrow(docs).mapInArrow(work, "doc_id long, n_shingles long, h1 long, h2 long, sigs array<long>")
+    return _narrow(docs).mapInArrow(work, "doc_id long, n_shingles long, h1 long, h2 long, parts array<struct<meta: long, sigs: array<long>>>")
 
 
 def tokens_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(doc, toks) of the documents whose ids are in `wanted` (doc): their sets of shingles."""
+    """(doc, toks, parity) of the documents whose ids are in `wanted` (doc): their sets of shingles.
+
+    parity: 256 bits, of which each says whether an odd number of shingles falls to it. Two sets differ in as many shingles as
+    their parities differ in bits, at least.
+    """
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=SLICE):
             sets = shingle_sets([x or "" for x in batch.column(1).to_pylist()], n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], names=["doc", "toks"])
+            odd = [np.packbits(np.bincount((x & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.int64) for x in sets]
+            columns = [pa.array([x.view(np.int64) for x in part], pa.list_(pa.int64())) for part in (sets, odd)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc", "toks", "parity"])
 
     ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    return _narrow(docs).join(ids, F.col("doc_id") == F.col("doc"), "left_semi").mapInArrow(work, "doc long, toks array<long>")
+    return _narrow(docs).join(ids, F.col("doc_id") == F.col("doc"), "left_semi").mapInArrow(work, "doc long, toks array<long>, parity array<long>")
 
 
 def links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -107,18 +148,33 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     # Equal sets are one class; its other members have no signatures of their own.
     extra = scratch(known.join(classes, ["n_shingles", "h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("doc")), "copies")
     away = F.broadcast(extra) if extra.count() <= BROADCAST_ROWS else extra
-    first = table.where(F.col("doc_id").isNotNull()).join(away, F.col("doc_id") == F.col("doc"), "left_anti").select(F.col("doc_id").alias("doc"), F.explode("sigs").alias("sig"))
+    first = table.where(F.col("doc_id").isNotNull()).join(away, F.col("doc_id") == F.col("doc"), "left_anti").select(F.col("doc_id").alias("doc"), F.explode("parts").alias("p")).select("doc", "p.meta", F.explode("p.sigs").alias("sig"))
     by_sig = Window.partitionBy("sig")
-    shared = first.select("sig", "doc", F.min("doc").over(by_sig).alias("hub"), F.max("doc").over(by_sig).alias("top")).where("hub < top")
-    shared = scratch(shared.select("sig", "doc", "hub"), "shared-signatures")
+    met = lambda rows: rows.withColumns({"_low": F.min("doc").over(by_sig), "_top": F.max("doc").over(by_sig)}).where("_low < _top").drop("_low", "_top")
+    shared = scratch(met(first.select("sig", "meta", "doc")), "shared-signatures")
     drop(table)
     release(session(docs))
 
+    # Who shares fewer signatures with all others together than a link needs has none.
+    enough = shared.groupBy("doc", "meta").count().where(F.col("count") >= needed(percent, "meta")).select("doc", "meta")
+    shared = scratch(met(shared.join(enough, ["doc", "meta"])), "likely-signatures")
     sets = scratch(tokens_of(docs, scratch(shared.select("doc").distinct(), "candidates"), n), "candidate-sets")
-    stars = shared.where("doc <> hub").select(*_ordered(F.col("doc"), F.col("hub"))).distinct()
-    edges = scratch(links(stars, sets, percent), "links")
-    groups = components(edges)
+
+    # A shingle that no other candidate has is in no intersection; what is left of a set bounds all of them.
+    lone = sets.select("doc", F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("_n"), F.min("doc").alias("doc")).where("_n = 1").groupBy("doc").agg(F.count(F.lit(1)).alias("_lone"))
+    common = _size("meta") - F.coalesce("_lone", F.lit(0))
+    shared = scratch(shared.join(lone, "doc", "left").withColumn("common", common).drop("_lone"), "bounded-signatures")
+    release(session(docs))
+    edges, groups = None, shared.select("doc", F.col("doc").alias("comp")).distinct()
+    for k in range(ROUNDS):
+        found = scratch(links(stars(shared, groups, k, percent), sets, percent), "links")
+        release(session(docs))
+        edges = found if edges is None else edges.unionByName(found)
+        if not found.limit(1).count():
+            break
+        groups = components(edges)
     more = scratch(open_groups(shared, groups, sets, percent), "links")
+    release(session(docs))
     if more.limit(1).count():
         groups = components(edges.unionByName(more))
 
@@ -127,18 +183,36 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     return named.select("doc_id", "n_shingles", alone.alias("component_id"))
 
 
+def stars(shared: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of a document and the first of a signature of its, in the k-th order of documents, if their groups differ.
+
+    The first order begins with documents of the fewest shingles that no other has, as what copies were made from. Pairs only serve to make groups: half the signatures that a link needs are asked for.
+    """
+    by_sig = Window.partitionBy("sig")
+    own = shared.join(groups, "doc", "left").select("sig", "meta", "common", "doc", F.coalesce("comp", "doc").alias("grp"))
+    order = F.struct(_size("meta") - F.col("common"), "doc") if k == 0 else F.struct(F.xxhash64("doc", F.lit(k)), "doc")
+    led = own.withColumn("hub", F.min(F.struct(order.alias("o"), "doc", "grp", "meta", "common")).over(by_sig)).where("grp <> hub.grp")
+    led = led.where(F.least("common", "hub.common") >= overlap(percent, _size("meta") + _size("hub.meta")))
+    counted = led.groupBy("doc", F.col("hub.doc").alias("hub"), "meta").count().where(2 * F.col("count") >= needed(percent, "meta"))
+    return counted.select(*_ordered(F.col("doc"), F.col("hub"))).distinct()
+
+
 def open_groups(shared: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links (a, b) between documents of different groups."""
-    own = shared.join(groups, "doc", "left").select("sig", "doc", F.coalesce("comp", "doc").alias("grp"))
+    own = shared.join(groups, "doc", "left").select("sig", "meta", "common", "doc", F.coalesce("comp", "doc").alias("grp"))
     open_sigs = own.groupBy("sig").agg(F.min("grp").alias("_low"), F.max("grp").alias("_high")).where("_low < _high").select("sig")
-    own = scratch(own.join(open_sigs, "sig"), "open-signatures")
+    own = own.join(open_sigs, "sig")
+    size = own.select("grp", "doc").distinct().groupBy("grp").agg(F.count(F.lit(1)).alias("members"))
+    own = scratch(own.join(size, "grp"), "open-signatures")
     members = own.select("grp", "doc").distinct()
-    size = members.groupBy("grp").agg(F.count(F.lit(1)).alias("members"))
 
-    # Which groups share a signature with a document, by the distinct (signature, group) rows of the matrix.
-    matrix = own.select("sig", F.col("grp").alias("other")).distinct()
-    asked = own.join(matrix, "sig").where("grp <> other").select("doc", "other").distinct()
-    asked = scratch(asked.join(size, F.col("other") == F.col("grp")).select("doc", "other", "members"), "asked-groups")
+    # Which groups share enough signatures with a document, by the distinct (signature, group) rows of the matrix. Of two
+    # groups, the documents of the smaller one ask for the larger one, since a link between them has an end in each.
+    matrix = own.groupBy("sig", F.col("grp").alias("other"), F.col("members").alias("among")).agg(F.min(_size("meta")).alias("least"), F.max("common").alias("most"))
+    asking = F.struct("members", "grp") < F.struct(F.col("among").alias("members"), F.col("other").alias("grp"))
+    asking = asking & (F.least("common", "most") >= overlap(percent, _size("meta") + F.col("least")))
+    asked = own.join(matrix, "sig").where(asking).groupBy("doc", "meta", "other", "among").count().where(F.col("count") >= needed(percent, "meta"))
+    asked = scratch(asked.select("doc", "other", F.col("among").alias("members")).distinct(), "asked-groups")
 
     # The union of a group's shingles bounds its overlap with a document. A group of one is compared at once.
     large = asked.where("members > 1").select("doc", "other")
@@ -149,8 +223,16 @@ def open_groups(shared: DataFrame, groups: DataFrame, sets: DataFrame, percent:
     inside = query.join(union, (query["other"] == union["grp"]) & (query["tok"] == union["tok"])).groupBy("doc", "other", "need").agg(F.count(F.lit(1)).alias("inside"))
     reach = inside.where("inside >= need").select("doc", "other").unionByName(asked.where("members = 1").select("doc", "other"))
 
-    mine, theirs = own.select("sig", "doc"), own.select("sig", F.col("doc").alias("_doc"), F.col("grp").alias("other"))
-    opened = reach.join(mine, "doc").join(theirs, ["sig", "other"])
+    parity = sets.select("doc", *[F.col("parity")[k].alias(f"p{k}") for k in range(4)])
+    mine = reach.join(own.select("sig", "meta", "common", "doc"), "doc").join(parity, "doc")
+    theirs = own.select("sig", "doc", F.col("grp").alias("other"), F.col("meta").alias("_meta"), F.col("common").alias("_common")).join(parity, "doc")
+    theirs = theirs.select("sig", "other", F.col("doc").alias("_doc"), "_meta", "_common", *[F.col(f"p{k}").alias(f"q{k}") for k in range(4)])
+    bits, total = F.lit(0), _size("meta") + _size("_meta")
+    for k in range(4):
+        bits = bits + F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"q{k}")))
+    may = (F.least("common", "_common") >= overlap(percent, total)) & (bits <= F.floor(total * (100 - percent) / (100 + percent)))
+    both = mine.join(theirs, ["sig", "other"]).where(may)
+    opened = both.groupBy("doc", "_doc", "meta", "_meta").count().where(F.col("count") >= needed(percent, "meta", "_meta"))
     return links(opened.select(*_ordered(F.col("doc"), F.col("_doc"))).distinct(), sets, percent)
 
 
@@ -160,3 +242,16 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     gone = scratch(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
     away = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
     return docs.join(away, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+
+
+#: The same rows for shingles of 4 words and 85 percent, for tables small enough to join all shingles.
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4 THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(list_slice(ws, i, i + 3), ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k >= 85 * (a.c + b.c - k)),
+both_ways AS (SELECT x, y FROM e UNION SELECT y, x FROM e),
+walk(id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT w.id, b.y FROM walk w JOIN both_ways b ON b.x = w.other)
+SELECT d.doc_id, coalesce(n.c, 0) AS n_shingles, c.root AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(other) AS root FROM walk GROUP BY 1) c ON c.id = d.doc_id
+"""

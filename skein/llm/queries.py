@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": line_dedup.SQL, "op5_quality_rules": quality_rules.SQL}
+    return {"op3_line_dedup": line_dedup.SQL, "op5_quality_rules": quality_rules.SQL, "op7_ngram_join": ngram_join.SQL}

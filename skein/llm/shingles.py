@@ -87,26 +87,27 @@ class SizeClass:
 
 
 class Partition:
-    """Signatures such that two sets which link have one in common, if they aren't equal.
+    """Signatures such that two sets which link have some in common, if they aren't equal.
 
     Hash space is cut into parts. If sets differ in d elements at most, of d + 1 + s parts s + 1 are equal in both. Each
     part that isn't empty gives a signature. A set with more than s empty parts gives signatures of those as well, since
-    all equal parts might be empty. Sets fall into classes by size, because d depends on it; a set that may link with
+    all equal parts might be empty. So two sets of a and b elements that link share, in one class, as many signatures as the
+    larger number of parts that aren't empty exceeds differ(a + b), and 1 at least. Sets fall into classes by size, because d depends on it; a set that may link with
     larger ones gives the signatures of their classes, too.
     """
 
-    def __init__(self, percent: int, ratio: float = 1.3):
-        self.percent, self.ratio, self.classes = percent, ratio, []
+    def __init__(self, percent: int, ratio: float = 1.3, equal: int = 4):
+        self.percent, self.ratio, self.equal, self.classes = percent, ratio, equal, []
 
     def of(self, size: int) -> SizeClass:
         while not self.classes or self.classes[-1].high <= size:
             low = self.classes[-1].high if self.classes else 1
             high = max(low + 1, int(low * self.ratio))
-            differ = 2 * (high - 1) * (100 - self.percent) // (100 + self.percent)
-            spare = 1
+            differ = self.differ(2 * (high - 1))
+            spare = self.equal - 1
             for _ in range(20):
                 parts = differ + 1 + spare
-                wanted = 1 + ceil(2 * parts * (1 - 1 / parts) ** low)
+                wanted = self.equal - 1 + ceil(2 * parts * (1 - 1 / parts) ** low)
                 if wanted <= spare:
                     break
                 spare = wanted
@@ -116,13 +117,18 @@ class Partition:
             at -= 1
         return self.classes[at]
 
-    def signatures(self, sets: list[np.ndarray]) -> list[np.ndarray]:
+    def differ(self, total: int) -> int:
+        """In how many elements two sets with `total` elements together may differ if they link."""
+        return total * (100 - self.percent) // (100 + self.percent)
+
+    def signatures(self, sets: list[np.ndarray]) -> list[list[tuple[int, int, np.ndarray]]]:
+        """(class, parts that aren't empty, signatures) of each set in each class that it takes part in."""
         jobs: list[tuple[int, SizeClass]] = []
         for k, x in enumerate(sets):
             if len(x):
                 own, last = self.of(len(x)).number, self.of(len(x) * 100 // self.percent).number
                 jobs += [(k, self.classes[c]) for c in range(own, last + 1) if self.classes[c].differ]
-        found: list[list[np.ndarray]] = [[] for _ in sets]
+        found: list[list[tuple[int, int, np.ndarray]]] = [[] for _ in sets]
         if jobs:
             tokens = np.concatenate([sets[k] for k, _ in jobs])
             lengths = np.array([len(sets[k]) for k, _ in jobs])
@@ -137,9 +143,10 @@ class Partition:
             filled = np.bincount(job, minlength=len(jobs))
             for j, rows in enumerate(np.split(sig, np.cumsum(filled)[:-1])):
                 k, c = jobs[j]
-                found[k].append(rows)
-                if c.parts - filled[j] > c.spare:
+                empties = int(c.parts - filled[j])
+                if empties > c.spare:
                     used = part[first][job == j]
                     empty = np.setdiff1d(np.arange(c.parts, dtype=_U), used)
-                    found[k].append(mix(mix(_U(c.number) << _U(40) | empty) ^ _U(0x3C6EF372FE94F82B)))
-        return [np.concatenate(x) if x else np.zeros(0, _U) for x in found]
+                    rows = np.concatenate([rows, mix(mix(_U(c.number) << _U(40) | empty) ^ _U(0x3C6EF372FE94F82B))])
+                found[k].append((c.number, int(filled[j]), rows))
+        return found
