@@ -13,7 +13,7 @@ import math
 import numpy as np
 
 #: Ids of a block at most, and the base-2 logarithm of the entries in a block's prediction tables.
-BLOCK, TABLE_BITS = 8192, 12
+BLOCK, TABLE_BITS = 2048, 11
 #: The code space is 2**16; order 0 keeps 2**13 of it at least, and its counts sum up to no more than that.
 SCALE, LEAST_ORDER0 = 1 << 16, 1 << 13
 SLOTS, STEP = 32, 24
@@ -45,7 +45,7 @@ class Lanes:
         self.right1 = np.tile(np.array([8000, 16000, 32000, 48000], np.int64), n)
         self.right2 = np.tile(np.array([16000, 32000, 48000, 60000], np.int64), n)
         self.weight0, self.weight1 = np.full(n, 52000, np.int64), np.full(n, 16000, np.int64)
-        self.counts = np.full((n, SLOTS), 8, np.int64)
+        self.counts = np.full((n, SLOTS), 8, np.int32)
         self.total = np.full(n, 8 * SLOTS, np.int64)
         self.last, self.before = np.zeros(n, np.int64), np.zeros(n, np.int64)
 
@@ -59,19 +59,21 @@ class Lanes:
         mask = (1 << TABLE_BITS) - 1
         self.key1 = self.at + ((self.last * 40503 >> 4) & mask)
         self.key2 = self.at + (((self.last * 31 + self.before) * 2654435761 >> 15) & mask)
-        self.entry1, self.entry2 = self.table1[self.key1].astype(np.int64), self.table2[self.key2].astype(np.int64)
+        self.entry1, self.entry2 = self.table1.take(self.key1).astype(np.int64), self.table2.take(self.key2).astype(np.int64)
         self.id1, self.id2 = (self.entry1 >> 2) - 1, (self.entry2 >> 2) - 1
         self.state1, self.state2 = self.lane4 + (self.entry1 & 3), self.lane4 + (self.entry2 & 3)
-        self.p1 = self.right1[self.state1]
+        self.p1 = self.right1.take(self.state1)
         self.known2, self.same = self.id2 >= 0, self.id1 == self.id2
-        self.in0 = _STRETCH[self.right2[self.state2] >> 4]
-        vote = _STRETCH[self.p1 >> 4]
+        self.r2 = self.right2.take(self.state2)
+        self.in0 = _STRETCH.take(self.r2 >> 4)
+        vote = _STRETCH.take(self.p1 >> 4)
         self.in1 = np.where(self.same, vote, np.where(self.id1 >= 0, -vote, 0))
-        self.p2 = _SQUASH[np.clip((self.weight0 * self.in0 + self.weight1 * self.in1) >> 16, -2047, 2047) + 2047]
+        mixed = (self.weight0 * self.in0 + self.weight1 * self.in1 >> 16) + 2047
+        self.p2 = _SQUASH.take(np.minimum(np.maximum(mixed, 0), 4094))
         free = SCALE - LEAST_ORDER0
-        self.space2 = np.where(self.known2, np.clip(self.p2 << 4, 16, free - 64), 0)
+        self.space2 = np.where(self.known2, np.minimum(np.maximum(self.p2 << 4, 16), free - 64), 0)
         self.only1 = (self.id1 >= 0) & ~self.same
-        self.space1 = np.where(self.only1, np.clip((free - self.space2) * self.p1 >> 16, 16, None), 0)
+        self.space1 = np.where(self.only1, np.maximum((free - self.space2) * self.p1 >> 16, 16), 0)
 
     def update(self, ids: np.ndarray, slots: np.ndarray) -> None:
         hit1, hit2 = ids == self.id1, ids == self.id2
@@ -79,8 +81,7 @@ class Lanes:
         for table, key, entry, hit in ((self.table1, self.key1, self.entry1, hit1), (self.table2, self.key2, self.entry2, hit2)):
             sure = entry & 3
             table[key] = np.where(hit, entry + (sure < 3), np.where(sure > 0, entry - 1, fresh))
-        p2 = self.right2[self.state2]
-        self.right2[self.state2] = p2 + np.where(self.known2, ((hit2 * 65535) - p2) >> 5, 0)
+        self.right2[self.state2] = self.r2 + np.where(self.known2, ((hit2 * 65535) - self.r2) >> 5, 0)
         self.right1[self.state1] = self.p1 + np.where(self.id1 >= 0, ((hit1 * 65535) - self.p1) >> 5, 0)
         wrong = np.where(self.known2, (hit2 << 12) - self.p2, 0)
         self.weight0 += self.in0 * wrong >> 10
@@ -127,9 +128,9 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[tuple[bytes, bytes]]:
         hit2, hit1 = now == lanes.id2, (now == lanes.id1) & lanes.only1
         begin0 = lanes.space2 + lanes.space1
         share = SCALE - begin0
-        cum = lanes.counts.cumsum(axis=1).reshape(-1)
-        above = cum[lanes.lane32 + slot]
-        below = above - lanes.counts.reshape(-1)[lanes.lane32 + slot]
+        cum, spot = lanes.counts.cumsum(axis=1, dtype=np.int32).reshape(-1), lanes.lane32 + slot
+        above = cum.take(spot).astype(np.int64)
+        below = above - lanes.counts.reshape(-1).take(spot)
         start0 = below * share // lanes.total
         width0 = above * share // lanes.total - start0
         start = np.where(hit2, 0, np.where(hit1, lanes.space2, begin0 + start0))
@@ -189,12 +190,13 @@ def decode_blocks(coded: list[tuple[bytes, bytes]], sizes: list[int]) -> list[np
         begin0 = lanes.space2 + lanes.space1
         hit2, share = value < lanes.space2, SCALE - begin0
         hit1 = ~hit2 & (value < begin0)
-        cum = lanes.counts.cumsum(axis=1)
+        cum = lanes.counts.cumsum(axis=1, dtype=np.int32)
         inner = np.maximum(value - begin0, 0)
-        slot = (cum * share[:, None] < ((inner + 1) * lanes.total)[:, None]).sum(axis=1)
+        slot = (cum * share.astype(np.int32)[:, None] < ((inner + 1) * lanes.total).astype(np.int32)[:, None]).sum(axis=1)
         slot = np.minimum(slot, SLOTS - 1)
-        above = cum.reshape(-1)[lanes.lane32 + slot]
-        below = above - lanes.counts.reshape(-1)[lanes.lane32 + slot]
+        spot = lanes.lane32 + slot
+        above = cum.reshape(-1).take(spot).astype(np.int64)
+        below = above - lanes.counts.reshape(-1).take(spot)
         start0 = below * share // lanes.total
         width0 = above * share // lanes.total - start0
         start = np.where(hit2, 0, np.where(hit1, lanes.space2, begin0 + start0))
@@ -207,7 +209,7 @@ def decode_blocks(coded: list[tuple[bytes, bytes]], sizes: list[int]) -> list[np
         span[small] <<= 16
         lower = np.where(hit2 | hit1, 0, np.maximum((slot >> 1) - 1, 0))
         at = plain_row[:m] + (bit[:m] >> 3)
-        window = plain[at] << 16 | plain[at + 1] << 8 | plain[at + 2]
+        window = plain.take(at, mode="clip") << 16 | plain.take(at + 1, mode="clip") << 8 | plain.take(at + 2, mode="clip")
         rest = (window >> (24 - (bit[:m] & 7) - lower)) & ((1 << lower) - 1)
         bit[:m] += lower
         spelt = np.where(slot < 2, slot, ((2 | (slot & 1)) << np.maximum((slot >> 1) - 1, 0)) | rest)

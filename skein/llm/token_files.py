@@ -8,7 +8,7 @@ repeated after a loss commit it once, and no local path is needed. Its layout, a
     u32 each, of each block
     of each block: words, plain bits
 
-Ids are below 2**16. Each block of up to 8192 ids is coded afresh and can be read alone.
+Ids are below 2**16. Each block of up to 2048 ids is coded afresh and can be read alone.
 """
 
 from __future__ import annotations
