@@ -10,6 +10,10 @@ from skein.llm import line_dedup, ngram_join, packing, toxicity, weak_labels
 from skein.llm.common import documents, labels, scratch
 
 
+#: Chunks that a tokenising worker remembers here; its memory also holds what earlier stages used.
+CACHE = 100_000
+
+
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go."""
     return toxicity.keep_clean(docs, labels(spark, sf_dir))
@@ -35,7 +39,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces and their places in sequences of 2048."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), length=2048, end_id=1)
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), length=2048, end_id=1, cache=CACHE)
 
 
 STAGES = [

@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SALTS, salt, scratch, session, slices
-from .tokens import encoder
+from .tokens import CACHE, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PIECES_IDS = f"{PIECES}, ids binary"
 _PA = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "doc_tokens": pa.int64()}
 
 
-def cut(docs: DataFrame, tokenizer: str, length: int, end_id: int, with_ids: bool = False) -> DataFrame:
+def cut(docs: DataFrame, tokenizer: str, length: int, end_id: int, with_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """One row for each piece of at most `length` ids of each document, its end id included.
 
     A null text counts as empty and gives one piece that holds the end id alone. Columns besides doc_id and text are
@@ -30,7 +30,7 @@ def cut(docs: DataFrame, tokenizer: str, length: int, end_id: int, with_ids: boo
     fields = [pa.field(k, v) for k, v in _PA.items()] + ([pa.field("ids", pa.binary())] if with_ids else [])
 
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        encode = encoder(tokenizer, cache).encode
         for batch in slices(batches):
             rows: list[tuple] = []
             packed = encode([x or "" for x in batch.column(1).to_pylist()])
@@ -142,11 +142,11 @@ def assign(pieces: DataFrame, length: int, salts: int = SALTS) -> DataFrame:
     return ranked.mapInArrow(place, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, with_ids: bool = False, cache: int = CACHE) -> DataFrame:
     """Packs documents (doc_id, text) into sequences of at most `length` tokens.
 
     Returns a row for each piece: doc_id, start, length, ids_crc32, doc_tokens, [ids,] sequence_id, offset,
     sequence_tokens. Rows that repeat are documents of their own. An empty table gives an empty result. Texts are
-    tokenised once, into a scratch table that holds the pieces.
+    tokenised once, into a scratch table that holds the pieces. `cache`: chunks that a worker remembers, for speed alone.
     """
-    return assign(scratch(cut(docs, tokenizer, length, end_id, with_ids), "pieces"), length)
+    return assign(scratch(cut(docs, tokenizer, length, end_id, with_ids, cache), "pieces"), length)

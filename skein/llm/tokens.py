@@ -40,6 +40,7 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True
         self.byte_level = self.tokenizer.normalizer is None
         self.tokenize, self.letters = self.tokenizer.model.tokenize, _byte_letters()
+        self.packed = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
         self.marks = {x: self._packed([x])[0] for x in ".,"}
         self.limit, self.cache, self.elder = cache, {}, {}
 
@@ -55,24 +56,32 @@ class ChunkEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [array("I", x.ids).tobytes() for x in found]
 
-    def _word(self, chunk: str) -> bytes | None:
-        """The ids of a chunk that is one word of plain letters and a full stop or comma at most: the library's model gets the word as its pre-tokenizer would spell it. None for any other chunk."""
-        if not chunk:
-            return b""
-        word = chunk[:-1] if chunk[-1] in self.marks else chunk
-        if not self.byte_level:
-            word = word.lower()
-        body = word[1:] if self.byte_level and word[:1] == " " else word
-        if not body.isalpha():
-            return None
-        if word.isascii():
-            spelt = word.replace(" ", self.letters[32])
-        elif max(body) < _PLAIN:
-            spelt = word.encode().decode("latin-1").translate(self.letters)
-        else:
-            return None
-        ids = array("I", [x.id for x in self.tokenize(spelt)]).tobytes()
-        return ids if chunk[-1] not in self.marks else ids + self.marks[chunk[-1]]
+    def _learn(self, chunks: set[str]) -> list[str]:
+        """Remembers the chunks that are one word of plain letters and a full stop or comma at most, and returns the others.
+
+        Such a word goes to the library's model directly, spelt as its pre-tokenizer would spell it.
+        """
+        tokenize, letters, marks, cache, packed, byte_level = self.tokenize, self.letters, self.marks, self.cache, self.packed, self.byte_level
+        space, hard = letters[32], []
+        for chunk in chunks:
+            mark = marks.get(chunk[-1:])
+            word = chunk if mark is None else chunk[:-1]
+            if not byte_level:
+                word = word.lower()
+            body = word[1:] if byte_level and word[:1] == " " else word
+            if not body.isalpha():
+                hard.append(chunk)
+                continue
+            if word.isascii():
+                spelt = word.replace(" ", space)
+            elif max(body) < _PLAIN:
+                spelt = word.encode().decode("latin-1").translate(letters)
+            else:
+                hard.append(chunk)
+                continue
+            ids = b"".join([packed[x.id] for x in tokenize(spelt)])
+            cache[chunk] = ids if mark is None else ids + mark
+        return hard
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
@@ -84,13 +93,7 @@ class ChunkEncoder:
             self.elder, self.cache = self.cache, {}
         missing = wanted - self.cache.keys()
         self.cache.update((x, self.elder[x]) for x in missing & self.elder.keys())
-        hard = []
-        for x in missing - self.elder.keys():
-            ids = self._word(x)
-            if ids is None:
-                hard.append(x)
-            else:
-                self.cache[x] = ids
+        hard = self._learn(missing - self.elder.keys())
         self.cache.update(zip(hard, self._packed(hard), strict=True))
         whole = iter(self._packed([t for t, x in zip(texts, split, strict=True) if x is None]))
         get = self.cache.__getitem__
@@ -98,6 +101,6 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> ChunkEncoder:
-    """One encoder for each worker process and vocabulary."""
-    return ChunkEncoder(path)
+def encoder(path: str, cache: int = CACHE) -> ChunkEncoder:
+    """One encoder for each worker process and vocabulary; a chunk takes about 200 bytes of its memory."""
+    return ChunkEncoder(path, cache)
