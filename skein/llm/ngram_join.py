@@ -197,6 +197,14 @@ def stars(shared: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFra
     return counted.select(*_ordered(F.col("doc"), F.col("hub"))).distinct()
 
 
+def _near(percent: int, total: Column) -> Column:
+    """Whether parities p0 to p3 and q0 to q3 differ in no more bits than two sets that link in shingles."""
+    bits = F.lit(0)
+    for k in range(4):
+        bits = bits + F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"q{k}")))
+    return bits <= F.floor(total * (100 - percent) / (100 + percent))
+
+
 def open_groups(shared: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links (a, b) between documents of different groups."""
     own = shared.join(groups, "doc", "left").select("sig", "meta", "common", "doc", F.coalesce("comp", "doc").alias("grp"))
@@ -205,13 +213,17 @@ def open_groups(shared: DataFrame, groups: DataFrame, sets: DataFrame, percent:
     size = own.select("grp", "doc").distinct().groupBy("grp").agg(F.count(F.lit(1)).alias("members"))
     own = scratch(own.join(size, "grp"), "open-signatures")
     members = own.select("grp", "doc").distinct()
+    parity = sets.select("doc", *[F.col("parity")[k].alias(f"p{k}") for k in range(4)])
 
     # Which groups share enough signatures with a document, by the distinct (signature, group) rows of the matrix. Of two
     # groups, the documents of the smaller one ask for the larger one, since a link between them has an end in each.
-    matrix = own.groupBy("sig", F.col("grp").alias("other"), F.col("members").alias("among")).agg(F.min(_size("meta")).alias("least"), F.max("common").alias("most"))
+    shown = own.join(parity, "doc")
+    matrix = shown.groupBy("sig", F.col("grp").alias("other"), F.col("members").alias("among")).agg(F.min(_size("meta")).alias("least"), F.max("common").alias("most"), *[F.min(f"p{k}").alias(f"q{k}") for k in range(4)])
     asking = F.struct("members", "grp") < F.struct(F.col("among").alias("members"), F.col("other").alias("grp"))
     asking = asking & (F.least("common", "most") >= overlap(percent, _size("meta") + F.col("least")))
-    asked = own.join(matrix, "sig").where(asking).groupBy("doc", "meta", "other", "among").count().where(F.col("count") >= needed(percent, "meta"))
+    # A group of one has its document's parity.
+    asking = asking & ((F.col("among") > 1) | _near(percent, _size("meta") + F.col("least")))
+    asked = shown.join(matrix, "sig").where(asking).groupBy("doc", "meta", "other", "among").count().where(F.col("count") >= needed(percent, "meta"))
     asked = scratch(asked.select("doc", "other", F.col("among").alias("members")).distinct(), "asked-groups")
 
     # The union of a group's shingles bounds its overlap with a document. A group of one is compared at once.
@@ -223,14 +235,11 @@ def open_groups(shared: DataFrame, groups: DataFrame, sets: DataFrame, percent:
     inside = query.join(union, (query["other"] == union["grp"]) & (query["tok"] == union["tok"])).groupBy("doc", "other", "need").agg(F.count(F.lit(1)).alias("inside"))
     reach = inside.where("inside >= need").select("doc", "other").unionByName(asked.where("members = 1").select("doc", "other"))
 
-    parity = sets.select("doc", *[F.col("parity")[k].alias(f"p{k}") for k in range(4)])
     mine = reach.join(own.select("sig", "meta", "common", "doc"), "doc").join(parity, "doc")
     theirs = own.select("sig", "doc", F.col("grp").alias("other"), F.col("meta").alias("_meta"), F.col("common").alias("_common")).join(parity, "doc")
     theirs = theirs.select("sig", "other", F.col("doc").alias("_doc"), "_meta", "_common", *[F.col(f"p{k}").alias(f"q{k}") for k in range(4)])
-    bits, total = F.lit(0), _size("meta") + _size("_meta")
-    for k in range(4):
-        bits = bits + F.bit_count(F.col(f"p{k}").bitwiseXOR(F.col(f"q{k}")))
-    may = (F.least("common", "_common") >= overlap(percent, total)) & (bits <= F.floor(total * (100 - percent) / (100 + percent)))
+    total = _size("meta") + _size("_meta")
+    may = (F.least("common", "_common") >= overlap(percent, total)) & _near(percent, total)
     both = mine.join(theirs, ["sig", "other"]).where(may)
     opened = both.groupBy("doc", "_doc", "meta", "_meta").count().where(F.col("count") >= needed(percent, "meta", "_meta"))
     return links(opened.select(*_ordered(F.col("doc"), F.col("_doc"))).distinct(), sets, percent)
