@@ -99,21 +99,23 @@ def cluster_edges(projected: DataFrame) -> DataFrame:
     return rows.groupBy("relation", source.alias("source_root"), target.alias("target_root")).agg(F.count(F.lit(1)).alias("support_count"), F.array_sort(F.collect_list("decision_id")).alias("support"))
 
 
-def closure(edges: DataFrame, most: int = 100) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(source, target, depth) of every path along edges (source, target) with the fewest steps; cycles are allowed.
 
-    Semi-naive rounds: only pairs found in the last round are extended, and pairs already known are dropped.
+    Each round doubles the reach, until one finds no new pair: a shortest path of more than `reach` and up to 2 * reach steps is one of
+    exactly `reach` steps and one of at most as many, which are known already.
     """
-    step = cut(edges.select("source", "target").distinct())
-    known = step.withColumn("depth", F.lit(1))
-    newest = known
-    for depth in range(2, most + 1):
-        grown = newest.select("source", F.col("target").alias("_via")).join(step.select(F.col("source").alias("_via"), "target"), "_via").select("source", "target").distinct()
-        newest = cut(grown.join(known.select("source", "target"), ["source", "target"], "left_anti").withColumn("depth", F.lit(depth)))
+    known = cut(edges.select("source", "target").distinct().withColumn("depth", F.lit(1)))
+    reach = 1
+    while True:
+        first = known.where(F.col("depth") == reach).select("source", F.col("target").alias("_via"))
+        rest = known.select(F.col("source").alias("_via"), "target", (F.col("depth") + reach).alias("depth"))
+        grown = first.join(rest, "_via").groupBy("source", "target").agg(F.min("depth").alias("depth"))
+        newest = cut(grown.join(known.select("source", "target"), ["source", "target"], "left_anti"))
         if not newest.limit(1).count():
             return known
         known = cut(known.unionByName(newest))
-    return known
+        reach *= 2
 
 
 def infer(pairs: DataFrame, labels: DataFrame, edges: DataFrame) -> DataFrame:

@@ -6,18 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def depths(nodes: DataFrame, most: int = 10_000) -> DataFrame:
-    """task_id, node_id, root_id, depth: by pointer doubling, so a chain of n nodes takes log2(n) rounds."""
+def depths(nodes: DataFrame) -> DataFrame:
+    """task_id, node_id, root_id, depth: by pointer doubling, so a chain of n nodes takes log2(n) rounds.
+
+    No chain has more nodes than the table; where one doesn't end in so many, parents form a cycle, which is an error.
+    """
     from .graph import cut
 
     has = F.col("parent_id").isNotNull()
     table = cut(nodes.select("task_id", "node_id", F.coalesce("parent_id", "node_id").alias("up"), has.cast("int").alias("depth")))
-    for _ in range(most.bit_length()):
+    for _ in range(table.count().bit_length() + 1):
         above = table.select(F.col("task_id").alias("_t"), F.col("node_id").alias("_n"), F.col("up").alias("_up"), F.col("depth").alias("_d"))
         new = cut(table.join(above, (F.col("task_id") == F.col("_t")) & (F.col("up") == F.col("_n")), "left").select("task_id", "node_id", F.coalesce("_up", "up").alias("up"), (F.col("depth") + F.coalesce("_d", F.lit(0))).alias("depth"), (F.coalesce("_d", F.lit(0)) > 0).alias("_moved")))
         table = new.drop("_moved")
         if not new.where("_moved").limit(1).count():
             break
+    else:
+        raise ValueError("parent_id leads in a cycle")
     return table.select("task_id", "node_id", F.col("up").alias("root_id"), "depth")
 
 

@@ -89,6 +89,41 @@ def test_graph(spark):
     assert inferred == {("a", "c"): ("interchangeable", "interchangeable_component"), ("g", "a"): ("different_capability", "cluster_different_propagation"), ("a", "f"): ("contains", "transitive_cluster_contains"), ("g", "d"): (None, None)}
 
 
+def test_closure_reaches_the_end_of_long_chains_and_cycles(spark):
+    n = 150
+    chain = spark.range(n - 1).selectExpr("id AS source", "id + 1 AS target")
+    found = {(r.source, r.target): r.depth for r in graph.closure(chain).collect()}
+    assert found == {(a, b): b - a for a in range(n) for b in range(a + 1, n)}
+    ring = spark.range(n).selectExpr("id AS source", f"(id + 1) % {n} AS target")
+    found = {(r.source, r.target): r.depth for r in graph.closure(ring).collect()}
+    assert found == {(a, b): (b - a) % n or n for a in range(n) for b in range(n)}
+    short = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, 4), (0, 3), (4, 4), (4, 1)], "source int, target int")
+    assert {(r.source, r.target): r.depth for r in graph.closure(short).collect()} == {(0, 1): 1, (0, 2): 2, (0, 3): 1, (0, 4): 2, (1, 1): 4, (1, 2): 1, (1, 3): 2, (1, 4): 3, (2, 1): 3, (2, 2): 4, (2, 3): 1, (2, 4): 2, (3, 1): 2, (3, 2): 3, (3, 3): 4, (3, 4): 1, (4, 1): 1, (4, 2): 2, (4, 3): 3, (4, 4): 1}
+    assert graph.closure(chain.limit(0)).count() == 0
+
+
+def test_inference_and_diagnostics_of_150_clusters(spark):
+    n = 150
+    labels = spark.range(n).selectExpr("id", "id AS root")
+    ring = spark.range(n).selectExpr("'contains' AS relation", "id AS source_root", f"(id + 1) % {n} AS target_root")
+    pairs = spark.createDataFrame([(0, n - 1), (n - 1, 0)], "left_id long, right_id long")
+    inferred = {(r.left_id, r.right_id): (r.inferred_relation, r.inferred_direction, r.rule) for r in graph.infer(pairs, labels, ring.where(f"source_root < {n - 1}")).collect()}
+    assert inferred == {(0, n - 1): ("contains", "left_contains_right", "transitive_cluster_contains"), (n - 1, 0): ("contains", "right_contains_left", "transitive_cluster_contains")}
+    none = spark.createDataFrame([], "decision_id string, left_id long, right_id long, relation string, direction string")
+    issues = {(r.issue_type, r.key) for r in graph.diagnostics(graph.project(none, labels), ring).collect()}
+    assert issues == {("contains_cycle", str(k)) for k in range(n)}
+
+
+def test_depths_of_long_chains_and_cycles(spark):
+    n = 17_000
+    nodes = spark.range(n).selectExpr("'t' AS task_id", "id AS node_id", "nullif(id - 1, -1) AS parent_id")
+    row = trajectory.depths(nodes).agg(F.max("depth"), F.sum("depth"), F.max("root_id")).first()
+    assert tuple(row) == (n - 1, n * (n - 1) // 2, 0)
+    ring = spark.createDataFrame([("t", 0, 2), ("t", 1, 0), ("t", 2, 1)], "task_id string, node_id int, parent_id int")
+    with pytest.raises(ValueError, match="cycle"):
+        trajectory.depths(ring)
+
+
 def test_quality_edges(spark):
     rows = spark.createDataFrame([(0.85, "a"), (1.00000005, "a"), (-0.1, "a"), (None, "b")], "score double, relation string")
     assert {(r.low, r.n) for r in quality.histogram(rows, "score", "relation", ["a"]).collect()} == {(0.85, 1), (0.95, 1)}
