@@ -25,9 +25,9 @@ TRAIN_ROWS = 6_000
 BITS, SIZES = 16, (3,)
 #: Shares of n-grams are of so many at least, so that a few letters decide little.
 LEAST_GRAMS = 200
-#: What labellers are made for: shares of votes against among bad and good documents. In estimating, this belief weighs so
-#: many times what the data say, since labellers that find different faults would else outvote each other.
-AGAINST, STRENGTH = (0.3, 0.002), 3.0
+#: What labellers are made for: shares of votes against among bad and good documents. In estimating, this belief counts as so
+#: many votes of each labeller in each class, at any number of documents, so many documents outweigh it.
+AGAINST, BELIEF_VOTES = (0.3, 0.002), 30.0
 #: Frequent words of four languages.
 FUNCTION_WORDS = "a al and are as at au be by con das de del den der des die du ein el en es et for from he in is ist it la las le les los of on or par pour que qui sur that the this to un una und une von was with you zu".split()
 
@@ -145,7 +145,7 @@ def estimate(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> LabelM
             for side, weight in ((0, counts * (1 - good)), (1, counts * good)):
                 tables[k, side] = np.bincount(votes[:, k] + 1, weights=weight, minlength=3)[[0, 2]]
                 against = AGAINST[side]
-                tables[k, side] += (1 + STRENGTH * tables[k, side].sum()) * np.array([against, 1 - against])
+                tables[k, side] += BELIEF_VOTES * np.array([against, 1 - against])
         tables /= tables.sum(axis=2, keepdims=True)
         prior = float(np.clip((counts @ good + 1) / (counts.sum() + 2), 0.01, 0.99))
         new = LabelModel(prior, tables)

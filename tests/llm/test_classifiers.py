@@ -61,6 +61,18 @@ def test_estimated_accuracies():
     assert np.allclose(weak_labels.estimate(votes, np.ones(len(votes))).posterior(patterns), model.posterior(patterns), atol=1e-3)
 
 
+def test_a_useless_labeller_counts_for_nothing():
+    draw = np.random.default_rng(3)
+    truth = draw.random(20000) < 0.85
+    skill = [(0.003, 0.6), (0.004, 0.5), (0.002, 0.8), (0.005, 0.55), (0.003, 0.7), (0.5, 0.5)]
+    votes = np.array([np.where(draw.random(20000) < 0.1, 0, np.where(draw.random(20000) < np.where(truth, g, b), -1, 1)) for g, b in skill]).T
+    model = weak_labels.estimate(*np.unique(votes, axis=0, return_counts=True))
+    known = weak_labels.LabelModel(0.85, np.array([[[b, 1 - b], [g, 1 - g]] for g, b in skill]))
+    assert np.allclose(model.accuracies(), known.accuracies(), atol=0.02)
+    gains = np.log(model.tables[-1, 1]) - np.log(model.tables[-1, 0])
+    assert np.abs(gains).max() < 0.1
+
+
 def test_junk_goes_and_prose_stays(spark):
     draw = random.Random(4)
     prose = lambda: " ".join(draw.choice(WORDS) for _ in range(draw.randint(30, 90))).capitalize() + "."
