@@ -57,6 +57,15 @@ def overlap(percent: int, total: Column) -> Column:
     return F.ceil(total * percent / (100 + percent))
 
 
+#: What tells sets of shingles apart.
+KEY = ["n_shingles", "h1", "h2"]
+
+
+def _hashes(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """h1 and h2 of sets."""
+    return [np.array([mix(x ^ np.uint64(c)).sum(dtype=np.uint64) for x in sets], np.uint64).view(np.int64) for c in (0x1234567, 0x89ABCDEF)]
+
+
 def set_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """doc_id, n_shingles, h1 and h2 (hashes of the set), parts, for every row; texts are read once.
 
@@ -70,32 +79,51 @@ def set_table(docs: DataFrame, n: int, percent: int) -> DataFrame:
         for batch in slices(batches, most=SLICE):
             sets = shingle_sets([x or "" for x in batch.column(1).to_pylist()], n)
             sizes = np.array([len(x) for x in sets], np.int64)
-            h1, h2 = (np.array([mix(x ^ np.uint64(c)).sum(dtype=np.uint64) for x in sets], np.uint64) for c in (0x1234567, 0x89ABCDEF))
+            h1, h2 = _hashes(sets)
             sigs = partition.signatures(sets)
             jobs = [x for own in sigs for x in own]
             flat = pa.array(np.concatenate([np.zeros(0, np.uint64), *[x[2] for x in jobs]]).view(np.int64))
             inner = pa.ListArray.from_arrays(_bounds([len(x[2]) for x in jobs]), flat)
             meta = [c << 56 | filled << 30 | len(x) for x, own in zip(sets, sigs, strict=True) for c, filled, _ in own]
             structs = pa.StructArray.from_arrays([pa.array(meta, pa.int64()), inner], names=["meta", "sigs"])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.ListArray.from_arrays(_bounds([len(x) for x in sigs]), structs)], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(h1), pa.array(h2), pa.ListArray.from_arrays(_bounds([len(x) for x in sigs]), structs)], names=names)
 
     return _narrow(docs).mapInArrow(work, "doc_id long, n_shingles long, h1 long, h2 long, parts array<struct<meta: long, sigs: array<long>>>")
 
 
-def tokens_of(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(doc, toks, parity) of the documents whose ids are in `wanted` (doc): their sets of shingles.
+def node_table(classes: DataFrame) -> DataFrame:
+    """n_shingles, h1, h2, rep, node: an id for each class, which is `rep` but for further classes with the same `rep`."""
+    low = classes.groupBy("rep").agg(F.min(F.struct(*KEY)).alias("_low"))
+    rows, seed = classes.join(low, "rep"), 0
+    while True:
+        node = F.when(F.struct(*KEY) == F.col("_low"), F.col("rep")).otherwise(F.xxhash64("rep", *KEY, F.lit(seed)))
+        nodes = scratch(rows.select(*KEY, "rep", node.alias("node")), "nodes")
+        if not nodes.groupBy("node").count().where("count > 1").limit(1).count():
+            return nodes
+        seed += 1
+
+
+def tokens_of(docs: DataFrame, wanted: DataFrame, n: int, nodes: DataFrame | None = None) -> DataFrame:
+    """(doc, toks, parity) of the documents, or of the `nodes` if given, whose ids are in `wanted` (doc): their sets of shingles.
 
     parity: 256 bits, of which each says whether an odd number of shingles falls to it. Two sets differ in as many shingles as
     their parities differ in bits, at least.
     """
 
+    keyed = nodes is not None
+
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SLICE):
             sets = shingle_sets([x or "" for x in batch.column(1).to_pylist()], n)
             odd = [np.packbits(np.bincount((x & np.uint64(255)).astype(np.int64), minlength=256) & 1).view(np.int64) for x in sets]
             columns = [pa.array([x.view(np.int64) for x in part], pa.list_(pa.int64())) for part in (sets, odd)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc", "toks", "parity"])
+            key = [pa.array([len(x) for x in sets], pa.int64()), *map(pa.array, _hashes(sets))] if keyed else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *key], names=["doc", "toks", "parity", *KEY[: len(key)]])
 
+    if keyed:
+        own = nodes.join(wanted, F.col("node") == F.col("doc"), "left_semi")
+        made = _narrow(docs).join(own.select("rep").distinct(), F.col("doc_id") == F.col("rep"), "left_semi").mapInArrow(work, "doc long, toks array<long>, parity array<long>, n_shingles long, h1 long, h2 long")
+        return made.withColumnRenamed("doc", "rep").join(own, ["rep", *KEY]).select(F.col("node").alias("doc"), "toks", "parity").dropDuplicates(["doc"])
     ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     return _narrow(docs).join(ids, F.col("doc_id") == F.col("doc"), "left_semi").mapInArrow(work, "doc long, toks array<long>, parity array<long>")
 
@@ -145,10 +173,20 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     known = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = scratch(known.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
 
-    # Equal sets are one class; its other members have no signatures of their own.
-    extra = scratch(known.join(classes, ["n_shingles", "h1", "h2"]).where("doc_id <> rep").select(F.col("doc_id").alias("doc")), "copies")
-    away = F.broadcast(extra) if extra.count() <= BROADCAST_ROWS else extra
-    first = table.where(F.col("doc_id").isNotNull()).join(away, F.col("doc_id") == F.col("doc"), "left_anti").select(F.col("doc_id").alias("doc"), F.explode("parts").alias("p")).select("doc", "p.meta", F.explode("p.sigs").alias("sig"))
+    # Equal sets are one class; its other members have no signatures of their own. Where rows share a doc_id, classes have ids
+    # of their own as nodes, and those of one doc_id are joined.
+    nodes = edges = None
+    if rows.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count():
+        nodes = node_table(classes)
+        own = scratch(known.join(nodes.drop("rep"), KEY).select("doc_id", "node").distinct(), "document-nodes")
+        least = own.groupBy("doc_id").agg(F.min("node").alias("b"))
+        edges = scratch(own.join(least, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b"), "links")
+        named = table.join(nodes.withColumnRenamed("rep", "doc_id"), ["doc_id", *KEY]).dropDuplicates(["node"]).select(F.col("node").alias("doc"), "parts")
+    else:
+        extra = scratch(known.join(classes, KEY).where("doc_id <> rep").select(F.col("doc_id").alias("doc")), "copies")
+        away = F.broadcast(extra) if extra.count() <= BROADCAST_ROWS else extra
+        named = table.where(F.col("doc_id").isNotNull()).join(away, F.col("doc_id") == F.col("doc"), "left_anti").select(F.col("doc_id").alias("doc"), "parts")
+    first = named.select("doc", F.explode("parts").alias("p")).select("doc", "p.meta", F.explode("p.sigs").alias("sig"))
     by_sig = Window.partitionBy("sig")
     met = lambda rows: rows.withColumns({"_low": F.min("doc").over(by_sig), "_top": F.max("doc").over(by_sig)}).where("_low < _top").drop("_low", "_top")
     shared = scratch(met(first.select("sig", "meta", "doc")), "shared-signatures")
@@ -158,14 +196,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     # Who shares fewer signatures with all others together than a link needs has none.
     enough = shared.groupBy("doc", "meta").count().where(F.col("count") >= needed(percent, "meta")).select("doc", "meta")
     shared = scratch(met(shared.join(enough, ["doc", "meta"])), "likely-signatures")
-    sets = scratch(tokens_of(docs, scratch(shared.select("doc").distinct(), "candidates"), n), "candidate-sets")
+    sets = scratch(tokens_of(docs, scratch(shared.select("doc").distinct(), "candidates"), n, nodes), "candidate-sets")
 
     # A shingle that no other candidate has is in no intersection; what is left of a set bounds all of them.
     lone = sets.select("doc", F.explode("toks").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("_n"), F.min("doc").alias("doc")).where("_n = 1").groupBy("doc").agg(F.count(F.lit(1)).alias("_lone"))
     common = _size("meta") - F.coalesce("_lone", F.lit(0))
     shared = scratch(shared.join(lone, "doc", "left").withColumn("common", common).drop("_lone"), "bounded-signatures")
     release(session(docs))
-    edges, groups = None, shared.select("doc", F.col("doc").alias("comp")).distinct()
+    groups = shared.select("doc", F.col("doc").alias("comp")).distinct() if edges is None else components(edges)
     for k in range(ROUNDS):
         found = scratch(links(stars(shared, groups, k, percent), sets, percent), "links")
         release(session(docs))
@@ -176,8 +214,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     more = scratch(open_groups(shared, groups, sets, percent), "links")
     release(session(docs))
     if more.limit(1).count():
-        groups = components(edges.unionByName(more))
+        groups = components(more if edges is None else edges.unionByName(more))
 
+    if nodes is not None:
+        placed = nodes.join(groups, F.col("node") == F.col("doc"), "left").select("node", "rep", F.coalesce("comp", "node").alias("grp"))
+        least = placed.groupBy("grp").agg(F.min("rep").alias("component_id"))
+        of_doc = own.join(placed, "node").join(least, "grp").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+        return rows.join(of_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     named = rows.join(classes, ["n_shingles", "h1", "h2"], "left").join(groups, F.col("rep") == F.col("doc"), "left")
     alone = F.coalesce("comp", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
     return named.select("doc_id", "n_shingles", alone.alias("component_id"))
@@ -246,11 +289,19 @@ def open_groups(shared: DataFrame, groups: DataFrame, sets: DataFrame, percent:
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` whose doc_id is that of their component, with their own columns; rows with null ids stay."""
-    found = near_duplicates(docs, n, percent)
+    """The rows of `docs` whose doc_id is that of their component, with their own columns; rows with null ids stay. Of rows
+    repeated with the same doc_id and text, one stays."""
+    found = scratch(near_duplicates(docs, n, percent), "components")
     gone = scratch(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
     away = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(away, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    kept = docs.join(away, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    again = scratch(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "repeated-ids")
+    many = again.count()
+    if not many:
+        return kept
+    again = F.broadcast(again) if many <= BROADCAST_ROWS else again
+    same = F.col("doc_id").cast("long") == F.col("_again")
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 #: The same rows for shingles of 4 words and 85 percent, for tables small enough to join all shingles.

@@ -116,3 +116,23 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     found = sorted((r.doc_id if r.doc_id is not None else -1, r.component_id) for r in j.near_duplicates(docs, 4, 85).collect())
     assert found == [(-1, None), (1, 1), (2, 1), (2, 1), (4, 4), (5, 5)]
     assert j.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_rows_of_one_id_have_the_links_of_all_their_texts(spark):
+    draw = random.Random(5)
+    word = lambda: f"u{draw.randrange(3000)}"
+    a, b, c, d, e = ([word() for _ in range(60)] for _ in range(5))
+    near = lambda words: [*words[:-1], "other"]
+    # 7 has a text equal to that of 3 and one near to that of 9; 5 has two texts of its own, one near to that of 2; 8 a text and none.
+    texts = [(3, a), (7, a), (7, b), (9, near(b)), (5, c), (5, d), (2, near(d)), (8, e), (8, []), (1, near(e)), (8, e)]
+    rows = [(k, " ".join(x)) for k, x in texts]
+    found = sorted((r.doc_id, r.n_shingles, r.component_id) for r in j.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect())
+    want = {1: 1, 8: 1, 2: 2, 5: 2, 3: 3, 7: 3, 9: 3}
+    assert found == sorted((k, max(0, len(x) - 3), want[k]) for k, x in texts)
+    assert j.near_duplicates(spark.createDataFrame([(4, None), (4, "")], "doc_id long, text string")).select("component_id").distinct().collect()[0][0] == 4
+
+
+def test_repeated_rows_stay_once(spark):
+    rows = [(1, "some words that are here"), (1, "some words that are here"), (1, "quite another text"), (2, "a text of its own"), (None, "x"), (None, "x")]
+    kept = j.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [*rows[1:]]))
