@@ -11,8 +11,6 @@ from .common import SALTS, salt, salted_rank, scratch
 
 #: Accuracy of the quantiles at which numbers are cut: an error of a thousandth of the rows.
 ACCURACY = 1000
-#: Bytes of a string that count after what all values begin with.
-KEY_BYTES = 6
 
 
 def hilbert_indices(dims: int, bits: int) -> list[int]:
@@ -49,43 +47,43 @@ def hilbert_indices(dims: int, bits: int) -> list[int]:
 
 @dataclass(frozen=True)
 class Dimension:
-    """A metadata column; strings are compared by their first bytes after what all values share."""
+    """A metadata column; whole strings are compared."""
 
     name: str
     value: Column
     is_text: bool = False
 
 
-def _common_prefix(low: str | None, high: str | None) -> int:
-    a, b = (low or "").encode(), (high or "").encode()
-    n = 0
-    while n < min(len(a), len(b)) and a[n] == b[n]:
-        n += 1
-    return n
+def text_cuts(df: DataFrame, value: Column, parts: list[float]) -> list[str]:
+    """The smallest strings up to which shares `parts` of the rows that aren't null go.
 
+    Distinct strings are counted first and their counts summed up in ranges of strings, so no task has them all.
+    """
+    counts = df.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    counts = scratch(counts.repartitionByRange("v").select("v", "n", F.spark_partition_id().alias("part")), "text-counts")
+    sums = counts.groupBy("part").agg(F.sum("n").alias("_all"))
+    # A row for each partition.
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("part", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_start"))
+    upto = F.col("_start") + F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    rows = counts.join(F.broadcast(starts), "part").select("v", upto.alias("upto"))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = rows.agg(*[F.min(F.when(F.col("upto") >= total * x, F.col("v"))).alias(f"c{k}") for k, x in enumerate(parts)]).first()
+    return [x for x in found if x is not None]
 
-def quantise(df: DataFrame, dimensions: list[Dimension], bits: int) -> list[Column]:
-    """A level from 0 to 2**bits - 1 for each dimension, cut at quantiles of all rows; nulls have level 0.
 
-    Two aggregations, whose results have a fixed size: the range of each text dimension, then quantile sketches.
-    """
-    texts = [d for d in dimensions if d.is_text]
-    edges = df.agg(*[f(d.value).alias(f"{d.name}_{n}") for d in texts for n, f in (("low", F.min), ("high", F.max))]).first() if texts else None
-    numbers = {}
-    for d in dimensions:
-        if d.is_text:
-            begin = _common_prefix(edges[f"{d.name}_low"], edges[f"{d.name}_high"])
-            key = F.rpad(F.hex(F.substring(F.encode(d.value, "UTF-8"), begin + 1, KEY_BYTES)), 2 * KEY_BYTES, "0")
-            numbers[d.name] = F.conv(key, 16, 10).cast("double")
-        else:
-            numbers[d.name] = d.value.cast("double")
+def quantise(df: DataFrame, dimensions: list[Dimension], bits: int) -> list[Column]:
+    """A level from 0 to 2**bits - 1 for each dimension, cut at quantiles of all rows; nulls have level 0."""
     parts = [k / (1 << bits) for k in range(1, 1 << bits)]
-    cuts = df.agg(*[F.percentile_approx(x, parts, ACCURACY).alias(n) for n, x in numbers.items()]).first()
+    values = {d.name: d.value.cast("string" if d.is_text else "double") for d in dimensions}
+    numbers = [d.name for d in dimensions if not d.is_text]
+    cuts = df.agg(*[F.percentile_approx(values[n], parts, ACCURACY).alias(n) for n in numbers]).first().asDict() if numbers else {}
+    cuts |= {d.name: text_cuts(df, values[d.name], parts) for d in dimensions if d.is_text}
     levels = []
     for d in dimensions:
         level = F.lit(0)
-        for cut in sorted(set(cuts[d.name] or [])):
-            level = level + F.when(numbers[d.name] > F.lit(cut), 1).otherwise(0)
+        for cut in sorted(set(cuts[d.name] or []), key=lambda x: x.encode() if d.is_text else x):
+            level = level + F.when(values[d.name] > F.lit(cut), 1).otherwise(0)
         levels.append(F.coalesce(level, F.lit(0)))
     return levels
 

@@ -54,3 +54,12 @@ def test_written_shards(spark, sf, tmp_path):
     back = spark.read.parquet(f"{tmp_path}/out")
     assert back.count() == docs.count() and back.select("shard").distinct().count() == 8
     assert {r.doc_id for r in back.collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_sources_that_begin_alike_have_levels_of_their_own(spark):
+    sources = ["archive.org", *[f"https://www.site{k}.org" for k in range(7)], None]
+    df = spark.createDataFrame([(x,) for x in sources for _ in range(20)], "source string")
+    level = s.quantise(df, [s.Dimension("source", F.col("source"), True)], 4)[0]
+    found = {r.source: r.level for r in df.select("source", level.alias("level")).distinct().collect()}
+    assert len(set(found.values())) == 8 and found[None] == 0
+    assert [found[x] for x in sorted(sources[:-1])] == sorted(found[x] for x in sources[:-1])
