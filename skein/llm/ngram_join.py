@@ -2,11 +2,13 @@
 
 1. Documents with equal sets form a class, of which one goes on.
 2. Signatures of parts of its set (see shingles.Partition) say which others a document may link with. Each document is
-   compared with the first of the signatures it shares, in a few orders; the links found make groups of similar documents.
+   compared with the hub of the signatures it shares, once; the links found make groups of similar documents.
 3. The token-group matrix holds the union of the shingles of each group. It bounds how many shingles of a document a group
-   can contain; only groups that reach what a link needs are opened, and their members that share a signature compared.
+   can contain; only groups that reach what a link needs are opened: a row for each of their members, which bounds by sizes,
+   lone shingles and parity bits leave or drop before sets are compared.
 Groups that the document is in already are never opened, which keeps thousands of near copies from being compared in pairs,
-and no link between groups is lost.
+and no link between groups is lost. What is left to grow is the number of documents near a group and in no link with it,
+times that group's members.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop, release, scratch, session, slices
@@ -23,10 +25,12 @@ from .shingles import Partition, mix, shingle_sets
 
 #: Up to so many ids (8 bytes each) are broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 500_000
+#: Signatures that meet are broadcast up to this number; each takes about 30 bytes in a task's hash table.
+MET_ROWS = 1_000_000
 #: Bytes of text that a worker hashes at once; its arrays take about fifty times as much.
 SLICE = 1 << 20
-#: How often documents are compared with the first of their signatures, in another order each time, to make groups.
-ROUNDS = 3
+#: Classes of equal sets with more documents than this are joined by broadcast; there are fewer of them than rows by so many.
+HOT_ROWS = 1_000_000
 
 
 def _narrow(docs: DataFrame) -> DataFrame:
@@ -171,7 +175,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     table = scratch(set_table(docs, n, percent), "shingle-sets")
     rows = scratch(table.select("doc_id", "n_shingles", "h1", "h2"), "shingle-rows")
     known = rows.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = scratch(known.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = scratch(known.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
 
     # Equal sets are one class; its other members have no signatures of their own. Where rows share a doc_id, classes have ids
     # of their own as nodes, and those of one doc_id are joined.
@@ -183,12 +187,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         edges = scratch(own.join(least, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b"), "links")
         named = table.join(nodes.withColumnRenamed("rep", "doc_id"), ["doc_id", *KEY]).dropDuplicates(["node"]).select(F.col("node").alias("doc"), "parts")
     else:
-        extra = scratch(known.join(classes, KEY).where("doc_id <> rep").select(F.col("doc_id").alias("doc")), "copies")
+        # Keys are unique here, whatever the classes' sizes.
+        extra = scratch(known.select("doc_id").join(classes.select("rep"), F.col("doc_id") == F.col("rep"), "left_anti").select(F.col("doc_id").alias("doc")), "copies")
         away = F.broadcast(extra) if extra.count() <= BROADCAST_ROWS else extra
         named = table.where(F.col("doc_id").isNotNull()).join(away, F.col("doc_id") == F.col("doc"), "left_anti").select(F.col("doc_id").alias("doc"), "parts")
     first = named.select("doc", F.explode("parts").alias("p")).select("doc", "p.meta", F.explode("p.sigs").alias("sig"))
-    by_sig = Window.partitionBy("sig")
-    met = lambda rows: rows.withColumns({"_low": F.min("doc").over(by_sig), "_top": F.max("doc").over(by_sig)}).where("_low < _top").drop("_low", "_top")
     shared = scratch(met(first.select("sig", "meta", "doc")), "shared-signatures")
     drop(table)
     release(session(docs))
@@ -204,37 +207,47 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     shared = scratch(shared.join(lone, "doc", "left").withColumn("common", common).drop("_lone"), "bounded-signatures")
     release(session(docs))
     groups = shared.select("doc", F.col("doc").alias("comp")).distinct() if edges is None else components(edges)
-    for k in range(ROUNDS):
-        found = scratch(links(stars(shared, groups, k, percent), sets, percent), "links")
-        release(session(docs))
-        edges = found if edges is None else edges.unionByName(found)
-        if not found.limit(1).count():
-            break
-        groups = components(edges)
+    found = scratch(links(stars(shared, groups, percent), sets, percent), "links")
+    edges = found if edges is None else edges.unionByName(found)
+    groups = components(edges)
     more = scratch(open_groups(shared, groups, sets, percent), "links")
     release(session(docs))
     if more.limit(1).count():
-        groups = components(more if edges is None else edges.unionByName(more))
+        groups = components(edges.unionByName(more))
 
     if nodes is not None:
         placed = nodes.join(groups, F.col("node") == F.col("doc"), "left").select("node", "rep", F.coalesce("comp", "node").alias("grp"))
         least = placed.groupBy("grp").agg(F.min("rep").alias("component_id"))
         of_doc = own.join(placed, "node").join(least, "grp").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
         return rows.join(of_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    named = rows.join(classes, ["n_shingles", "h1", "h2"], "left").join(groups, F.col("rep") == F.col("doc"), "left")
-    alone = F.coalesce("comp", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")))
-    return named.select("doc_id", "n_shingles", alone.alias("component_id"))
+    placed = classes.join(groups, F.col("rep") == F.col("doc"), "left").select(*KEY, "n", F.coalesce("comp", "rep").alias("component_id"))
+    lone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    # Copies of one text may be a third of all rows; such classes are few.
+    large = classes.where(F.col("n") > HOT_ROWS).limit(1).count()
+    if not large:
+        return lone.unionByName(known.join(placed, KEY).select("doc_id", "n_shingles", "component_id"))
+    hot, cold = F.broadcast(placed.where(F.col("n") > HOT_ROWS)), placed.where(F.col("n") <= HOT_ROWS)
+    many, few = known.join(hot, KEY), known.join(hot.select(*KEY), KEY, "left_anti").join(cold, KEY)
+    return lone.unionByName(many.select("doc_id", "n_shingles", "component_id")).unionByName(few.select("doc_id", "n_shingles", "component_id"))
 
 
-def stars(shared: DataFrame, groups: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of a document and the first of a signature of its, in the k-th order of documents, if their groups differ.
+def met(rows: DataFrame) -> DataFrame:
+    """The rows of signatures (sig, doc, ...) that two documents or more have. Signatures aggregate before they are joined
+    back, so that one which a third of all documents have is no single task's."""
+    keys = rows.groupBy("sig").agg(F.min("doc").alias("_low"), F.max("doc").alias("_top")).where("_low < _top").select("sig")
+    keys = scratch(keys, "met-signatures")
+    return rows.join(F.broadcast(keys) if keys.count() <= MET_ROWS else keys, "sig", "left_semi")
 
-    The first order begins with documents of the fewest shingles that no other has, as what copies were made from. Pairs only serve to make groups: half the signatures that a link needs are asked for.
+
+def stars(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a document and the hub of a signature of its, if their groups differ.
+
+    A hub is the document with the fewest shingles that no other has, as what copies were made from. Pairs only serve to make groups: half the signatures that a link needs are asked for.
     """
-    by_sig = Window.partitionBy("sig")
     own = shared.join(groups, "doc", "left").select("sig", "meta", "common", "doc", F.coalesce("comp", "doc").alias("grp"))
-    order = F.struct(_size("meta") - F.col("common"), "doc") if k == 0 else F.struct(F.xxhash64("doc", F.lit(k)), "doc")
-    led = own.withColumn("hub", F.min(F.struct(order.alias("o"), "doc", "grp", "meta", "common")).over(by_sig)).where("grp <> hub.grp")
+    order = F.struct(_size("meta") - F.col("common"), "doc")
+    hubs = own.groupBy("sig").agg(F.min(F.struct(order.alias("o"), "doc", "grp", "meta", "common")).alias("hub"))
+    led = own.join(hubs, "sig").where("grp <> hub.grp")
     led = led.where(F.least("common", "hub.common") >= overlap(percent, _size("meta") + _size("hub.meta")))
     counted = led.groupBy("doc", F.col("hub.doc").alias("hub"), "meta").count().where(2 * F.col("count") >= needed(percent, "meta"))
     return counted.select(*_ordered(F.col("doc"), F.col("hub"))).distinct()
@@ -255,8 +268,8 @@ def open_groups(shared: DataFrame, groups: DataFrame, sets: DataFrame, percent:
     own = own.join(open_sigs, "sig")
     size = own.select("grp", "doc").distinct().groupBy("grp").agg(F.count(F.lit(1)).alias("members"))
     own = scratch(own.join(size, "grp"), "open-signatures")
-    members = own.select("grp", "doc").distinct()
     parity = sets.select("doc", *[F.col("parity")[k].alias(f"p{k}") for k in range(4)])
+    members = scratch(own.select("grp", "doc", _size("meta").alias("size"), "common").distinct().join(parity, "doc"), "open-members")
 
     # Which groups share enough signatures with a document, by the distinct (signature, group) rows of the matrix. Of two
     # groups, the documents of the smaller one ask for the larger one, since a link between them has an end in each.
@@ -278,13 +291,12 @@ def open_groups(shared: DataFrame, groups: DataFrame, sets: DataFrame, percent:
     inside = query.join(union, (query["other"] == union["grp"]) & (query["tok"] == union["tok"])).groupBy("doc", "other", "need").agg(F.count(F.lit(1)).alias("inside"))
     reach = inside.where("inside >= need").select("doc", "other").unionByName(asked.where("members = 1").select("doc", "other"))
 
-    mine = reach.join(own.select("sig", "meta", "common", "doc"), "doc").join(parity, "doc")
-    theirs = own.select("sig", "doc", F.col("grp").alias("other"), F.col("meta").alias("_meta"), F.col("common").alias("_common")).join(parity, "doc")
-    theirs = theirs.select("sig", "other", F.col("doc").alias("_doc"), "_meta", "_common", *[F.col(f"p{k}").alias(f"q{k}") for k in range(4)])
-    total = _size("meta") + _size("_meta")
+    # A row for each document and member of a group that it opens, before sets are compared.
+    mine = reach.join(members.drop("grp"), "doc")
+    theirs = members.select(F.col("grp").alias("other"), F.col("doc").alias("_doc"), F.col("size").alias("_size"), F.col("common").alias("_common"), *[F.col(f"p{k}").alias(f"q{k}") for k in range(4)])
+    total = F.col("size") + F.col("_size")
     may = (F.least("common", "_common") >= overlap(percent, total)) & _near(percent, total)
-    both = mine.join(theirs, ["sig", "other"]).where(may)
-    opened = both.groupBy("doc", "_doc", "meta", "_meta").count().where(F.col("count") >= needed(percent, "meta", "_meta"))
+    opened = mine.join(theirs, "other").where(may)
     return links(opened.select(*_ordered(F.col("doc"), F.col("_doc"))).distinct(), sets, percent)
 
 

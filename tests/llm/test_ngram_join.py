@@ -33,12 +33,6 @@ def brute(rows, n, percent):
     return {d: (len(sets[d]), find(d)) for d in docs}
 
 
-@pytest.fixture(autouse=True)
-def one_round(monkeypatch):
-    """Fewer jobs; groups are then opened more often, which these tests want."""
-    monkeypatch.setattr(j, "ROUNDS", 1)
-
-
 def corpus(seed, families=25):
     draw = random.Random(seed)
     vocabulary = [f"w{k}" for k in range(800)] + ["Zoë", "ÀB"]
@@ -56,8 +50,12 @@ def corpus(seed, families=25):
     return [(3 * k, t) for k, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize(("n", "percent", "seed"), [(4, 85, 1), (5, 80, 2)])
-def test_components_against_brute_force(spark, n, percent, seed):
+@pytest.mark.parametrize(("n", "percent", "seed", "most"), [(4, 85, 1, None), (5, 80, 2, 1)])
+def test_components_against_brute_force(spark, monkeypatch, n, percent, seed, most):
+    """`most`: bounds so small that nothing but large classes is broadcast."""
+    if most:
+        for bound in ("BROADCAST_ROWS", "MET_ROWS", "HOT_ROWS"):
+            monkeypatch.setattr(j, bound, most)
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id AS doc", "text AS sig", "doc_id AS rep")
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in j.near_duplicates(docs, n, percent).collect()}
