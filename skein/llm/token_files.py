@@ -5,10 +5,10 @@ repeated after a loss commit it once, and no local path is needed. Its layout, a
 
     magic "SKTF", version u8, documents u32, blocks u32, ids u64, crc32 of all ids u32, bytes of the tables u32
     tables, deflated: doc_id i64 and ids u64 of each document; ids, bytes of words, bytes of plain bits and crc32 of ids,
-    u32 each, of each block
+    words and plain bits, u32 each, of each block
     of each block: words, plain bits
 
-Ids are below 2**16. Each block of up to 2048 ids is coded afresh and can be read alone.
+Ids are unsigned 32-bit integers. Each block of up to 2048 ids is coded afresh and can be read alone.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from .common import scratch, slices
 from .range_coder import BLOCK, decode_blocks, encode_blocks
 from .tokens import encoder
 
-MAGIC, VERSION = b"SKTF", 1
+MAGIC, VERSION = b"SKTF", 2
 _HEAD = struct.Struct("<4sBIIQII")
 #: Bytes of text that go into one file, about.
 FILE_BYTES = 12 << 20
@@ -42,12 +42,10 @@ def write_file(doc_ids: list[int | None], ids: list[bytes], block: int = BLOCK)
     """One file of whole documents; `ids` are little-endian unsigned 32-bit integers."""
     joined = b"".join(ids)
     flat = np.frombuffer(joined, "<u4").astype(np.int64)
-    if len(flat) and flat.max() >= 1 << 16:
-        raise ValueError("ids must be below 65536")
     parts = [flat[i : i + block] for i in range(0, len(flat), block)]
     coded = encode_blocks(parts)
     documents = np.array([[_NULL if d is None else d, len(x) // 4] for d, x in zip(doc_ids, ids, strict=True)], "<i8").reshape(-1, 2)
-    sums = [[len(p), len(w), len(b), zlib.crc32(joined[4 * k * block : 4 * (k * block + len(p))])] for k, (p, (w, b)) in enumerate(zip(parts, coded, strict=True))]
+    sums = [[len(p), len(w), len(b), zlib.crc32(w + b, zlib.crc32(joined[4 * k * block : 4 * (k * block + len(p))]))] for k, (p, (w, b)) in enumerate(zip(parts, coded, strict=True))]
     tables = zlib.compress(documents.tobytes() + np.array(sums, "<u4").tobytes())
     head = _HEAD.pack(MAGIC, VERSION, len(documents), len(parts), len(flat), zlib.crc32(joined), len(tables))
     return b"".join([head, tables, *[x for pair in coded for x in pair]])
@@ -74,7 +72,7 @@ def read_file(data: bytes) -> tuple[list[int | None], list[bytes]]:
         raise Damaged(f"{len(data)} bytes instead of {at}")
     decoded = [x.astype("<u4").tobytes() for x in decode_blocks(coded, [x[0] for x in blocks])]
     for k, (x, (*_, own)) in enumerate(zip(decoded, blocks, strict=True)):
-        if zlib.crc32(x) != own:
+        if zlib.crc32(b"".join(coded[k]), zlib.crc32(x)) != own:
             raise Damaged(f"block {k} has another checksum")
     joined = b"".join(decoded)
     if len(joined) != 4 * n_ids or zlib.crc32(joined) != crc:
