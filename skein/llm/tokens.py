@@ -2,7 +2,8 @@
 
 Both pre-tokenizers used here end a piece before a space that a visible character follows, and before and after a line end
 between visible characters, so a text falls apart there and equal chunks get equal ids. Texts with runs of white space, for
-which that can't be said, go to the library whole.
+which that can't be said, and those that may hold one of the vocabulary's added tokens, such as <|endoftext|>, go to the
+library whole. As add_special_tokens=False alone asks for, such a token in a text gives its own id.
 """
 
 from __future__ import annotations
@@ -37,7 +38,9 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        # What all added tokens begin with, before the first letter, whose case a normaliser may change.
+        self.mark = re.match("[^A-Za-z]*", os.path.commonprefix(added))[0] if added else None
         self.byte_level = self.tokenizer.normalizer is None
         self.tokenize, self.letters = self.tokenizer.model.tokenize, _byte_letters()
         self.packed = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
@@ -46,6 +49,8 @@ class ChunkEncoder:
 
     def chunks(self, text: str) -> list[str] | None:
         """The chunks of a text; None if only the library can split it."""
+        if self.mark is not None and self.mark in text:
+            return None
         if self.byte_level:
             if _HARD.search(text):
                 return None

@@ -9,14 +9,13 @@ from tokenizers import Tokenizer
 from skein.llm import packing, tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-ALPHABET = ["a", "b", " ", "  ", "\n", "é", "日本", "the", "ing", "=", ".", ",", ". ", "1", "'s", "😀", "\x1c", "\x00", "Word", "İ", "Σ", "ß", "<|endoftext|>"]
+ALPHABET = ["a", "b", " ", "  ", "\n", "é", "日本", "the", "ing", "=", ".", ",", ". ", "1", "'s", "😀", "\x1c", "\x00", "Word", "İ", "Σ", "ß", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>"]
 
 
 def test_chunks_give_the_library_s_ids():
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         path = public_tokenizers.path(name)
         library = Tokenizer.from_file(path)
-        library.encode_special_tokens = True
         ours, draw = tokens.ChunkEncoder(path, cache=50), random.Random(3)
         for _ in range(150):
             texts = ["".join(draw.choice(ALPHABET) for _ in range(draw.randint(0, 25))) for _ in range(8)]
@@ -63,13 +62,12 @@ def check(rows, docs, library, length):
 def test_query_on_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     library = Tokenizer.from_file(PATH)
-    library.encode_special_tokens = True
     fill = check(packing.pack(docs, PATH).collect(), [(r.doc_id, r.text) for r in docs.collect()], library, 2048)
     assert fill > 0.97
 
 
 def test_edge_rows(spark):
-    rows = [(1, None), (2, ""), (3, "word " * 5000), (4, "a b"), (5, "a b"), (None, "x")]
+    rows = [(1, None), (2, ""), (3, "word " * 5000), (4, "a b"), (5, "a b"), (6, "a <|endoftext|> b<|endoftext|>"), (None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id AS length", "text AS start", "doc_id AS _salt")
     library = Tokenizer.from_file(PATH)
     check(packing.pack(docs, PATH, length=64).collect(), rows, library, 64)
