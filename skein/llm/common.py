@@ -80,6 +80,34 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(start)
 
 
+def bounded_sample(df: DataFrame, rows: int, seed: int, *keys: str) -> DataFrame:
+    """About `rows` rows of `df` where it has more, all of them otherwise: those whose hash of `keys` is low.
+
+    The threshold has 63 bits, so a table of any size gives a sample. If the first key alone chooses no row or far too many, as
+    where most rows share it, all keys are hashed; rows that are alike in all of them are taken as they come.
+    """
+    n = df.count()
+    if n <= rows:
+        return df
+    threshold = F.lit(min((1 << 63) - 1, (rows << 63) // n))
+    for chosen in {1: keys[:1], len(keys): keys}.values():
+        found = df.where(F.shiftrightunsigned(F.xxhash64(*chosen, F.lit(seed)), 1) < threshold)
+        if 0 < found.limit(2 * rows + 1).count() <= 2 * rows:
+            return found
+    return df.limit(rows)
+
+
+def up_to(df: DataFrame, size: str, most: int) -> DataFrame:
+    """The rows of a bounded sample whose sizes in the column `size` sum up to `most` at least or to all of it, by rising `_hash`."""
+    table = df.select("_hash", size).toArrow().sort_by("_hash").to_pydict()
+    ends, total = table["_hash"], 0
+    for end, n in zip(ends, table[size], strict=True):
+        total += n
+        if total >= most:
+            return df.where(F.col("_hash") <= end)
+    return df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table; Python workers on this machine are also told where this package is."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
@@ -101,4 +129,5 @@ def drop(table: DataFrame) -> None:
 def release(spark: SparkSession) -> None:
     """Lets Spark find out which shuffles nothing needs any more, so that their files go."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     spark.sparkContext._jvm.System.gc()

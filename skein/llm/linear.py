@@ -60,16 +60,28 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -40, 40)))
 
 
+#: Entries of a matrix that a step takes at once, which bounds its temporary arrays.
+PIECE = 1 << 19
+
+
 def logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, target: np.ndarray, width: int, l2: float = 1e-4, steps: int = 300, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch Adam; `target` may be probabilities. Entry k of the matrix is values[k] at (rows[k], columns[k])."""
+    """Weights and bias by full-batch Adam; `target` may be probabilities. Entry k of the matrix is values[k] at (rows[k], columns[k]).
+
+    Entries of 32 bits each do; sums over them are made piece by piece.
+    """
     n = max(1, len(target))
     weights, mean, square = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
     share = float(np.clip(target.mean() if len(target) else 0.5, 1e-3, 1 - 1e-3))
     weights[-1] = np.log(share / (1 - share))
+    pieces = [slice(k, k + PIECE) for k in range(0, len(rows), PIECE)]
     for t in range(1, steps + 1):
-        z = np.bincount(rows, weights=values * weights[columns], minlength=len(target)) + weights[-1]
+        z, gradient = np.full(len(target), weights[-1]), np.empty(width + 1)
+        for p in pieces:
+            z += np.bincount(rows[p], weights=values[p] * weights[columns[p]], minlength=len(target))
         slope = (sigmoid(z) - target) / n
-        gradient = np.append(np.bincount(columns, weights=values * slope[rows], minlength=width) + l2 * weights[:-1], slope.sum())
+        gradient[:-1], gradient[-1] = l2 * weights[:-1], slope.sum()
+        for p in pieces:
+            gradient[:-1] += np.bincount(columns[p], weights=values[p] * slope[rows[p]], minlength=width)
         mean += 0.1 * (gradient - mean)
         square += 0.01 * (gradient**2 - square)
         weights -= rate * (mean / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-8)

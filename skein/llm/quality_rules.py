@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample
+
 #: Documents on which cost and selectivity are estimated: about so many, chosen by a hash of their ids.
 SAMPLE_ROWS = 2_000
 #: What separates words, and the characters that count as symbols.
@@ -129,8 +131,7 @@ def cascade(ordered: list[Estimate]) -> Column:
 def judge(docs: DataFrame, judged: list[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The measures of every document, base_failed, rejected_by and kept. Repeated rows are judged each; an empty table gives none."""
     judged = rules() if judged is None else judged
-    share = min(1.0, sample_rows / max(1, docs.count()))
-    sample = measures(docs.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * share))).persist()
+    sample = measures(bounded_sample(docs, sample_rows, 5, "doc_id", "text")).persist()
     try:
         ordered = order(sample, judged)
     finally:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, session, slices
+from .common import bounded_sample, release, scratch, session, slices, up_to
 from .linear import BITS, SIZES, SLICE, Model, distinct_hits, grams, logistic
 
 #: Labelled documents that training takes, chosen by a hash of their ids: about so many where there are more.
@@ -17,6 +17,8 @@ TRAIN_ROWS = 16_000
 #: n-grams must be in so many training documents, and differ between the classes by this chi-square value (a chance of 0.001)
 #: and this log-count ratio at least; the ratio keeps out n-grams that only tell long texts from short ones.
 LEAST_DOCUMENTS, LEAST_CHI2, LEAST_RATIO, MOST_FEATURES = 4, 10.8, 1.0, 1 << 14
+#: n-grams kept in all training documents together, 12 bytes each in the driver: fewer documents are taken if they have more.
+TRAIN_ENTRIES = 16_000_000
 #: Tasks that read the training documents, whose number is bounded.
 TASKS = 16
 SMOOTHING = 1.0
@@ -31,14 +33,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int = TR
     """(doc_id, text, y) of about `rows` labelled documents at most, none of them held out.
 
     Repeated labels of a document count as one, the largest; null labels and ids are none. The chosen ids are broadcast:
-    their number is bounded by `rows`, which is a parameter, and not by the input.
+    their number is bounded by `rows`, which is a parameter, and not by the input. Of rows with one doc_id, the smallest
+    text is taken, so a repeated document does not make the training rows many.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label)).cast("double").alias("y"))
-    share = min(1.0, rows / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000)) < int(1_000_000 * share))
+    chosen = bounded_sample(known, rows, 7, "doc_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").repartition(TASKS, "doc_id")
+    own = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    return own.repartition(TASKS, "doc_id")
 
 
 def train(rows: DataFrame, sizes: tuple[int, ...] = SIZES, bits: int = BITS) -> Model:
@@ -78,16 +81,21 @@ def train(rows: DataFrame, sizes: tuple[int, ...] = SIZES, bits: int = BITS) ->
     def entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SLICE):
             owner, bucket = distinct_hits(batch.column(0).to_pylist(), shared.value, sizes, bits)
-            columns = np.split((shared.value[bucket] - 1).astype("<u4"), np.searchsorted(owner, np.arange(1, batch.num_rows)))
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in columns], pa.binary()), batch.column(1)], names=["columns", "y"])
-
-    matrix = texts.mapInArrow(entries, "columns binary, y double").collect()
-    columns = [np.frombuffer(bytes(x[0]), "<u4") for x in matrix]
-    which = np.repeat(np.arange(len(columns)), [len(x) for x in columns])
-    flat = np.concatenate([np.zeros(0, "<u4"), *columns]).astype(np.int64)
-    weights, bias = logistic(which, flat, ratio[flat] if len(flat) else np.zeros(0), np.array([x[1] for x in matrix]), len(buckets))
+            columns = np.split((shared.value[bucket] - 1).astype("<i4"), np.searchsorted(owner, np.arange(1, batch.num_rows)))
+            lengths = pa.array([len(x) for x in columns], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(2), lengths, pa.array([x.tobytes() for x in columns], pa.binary()), batch.column(1)], names=["_hash", "size", "columns", "y"])
+
+    keyed = texts.withColumn("_hash", F.xxhash64("text"))
+    matrix = scratch(keyed.mapInArrow(entries, "_hash long, size long, columns binary, y double"), "toxicity-matrix")
+    matrix = up_to(matrix, "size", TRAIN_ENTRIES).drop("_hash").toArrow()
+    which = np.repeat(np.arange(matrix.num_rows, dtype=np.int32), matrix.column("size").to_numpy())
+    flat = np.frombuffer(b"".join(matrix.column("columns").to_pylist()), "<i4")
+    weights, bias = logistic(which, flat, ratio.astype(np.float32)[flat] if len(flat) else np.zeros(0, np.float32), matrix.column("y").to_numpy(), len(buckets))
+    del matrix, which, flat
     table = np.zeros(1 << bits, np.float32)
     table[buckets] = ratio * weights
+    shared.destroy()
+    release(spark)
     return Model(table, bias, sizes, bits)
 
 
@@ -104,13 +112,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of `docs`; only labels of documents outside fold 0 are learnt."""
+    """doc_id, held_out, score, predicted for every row of `docs`; only labels of documents outside fold 0 are learnt.
+
+    A null text scores as an empty one, a null doc_id is not held out, repeated rows are scored each, other columns are
+    ignored. Without labels of both classes all scores are near 0 or near 1. An empty table gives none.
+    """
     model = train(training_rows(docs, labels, "toxic", rows))
     return score(docs, model).select("doc_id", (F.coalesce(fold() == 0, F.lit(False))).alias("held_out"), "score", "predicted")
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of `docs` that score under 0.5, with their own columns, in one pass after training."""
+    """The rows of `docs` that score under 0.5, with their own columns, in one pass after training; nulls and repeats as in classify()."""
     shared = session(docs).sparkContext.broadcast(train(training_rows(docs, labels, "toxic", rows)))
     at = docs.columns.index("text")
 

@@ -14,13 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session, slices
+from .common import bounded_sample, release, scratch, session, slices, up_to
 from .linear import SLICE, grams, logistic, sigmoid
 from .quality_rules import SYMBOLS
 from .shingles import mix, word_hashes
 
 #: Documents that the scorer learns from, chosen by a hash of their ids: about so many where there are more.
 TRAIN_ROWS = 6_000
+#: n-grams in all of these documents together, 12 bytes each in the driver: fewer documents are taken if they have more.
+TRAIN_ENTRIES = 8_000_000
 #: Base-2 logarithm of the buckets that levels and character n-grams are hashed to; the n-grams' sizes.
 BITS, SIZES = 16, (3,)
 #: Shares of n-grams are of so many at least, so that a few letters decide little.
@@ -191,11 +193,14 @@ class Scorer:
         return sigmoid(sums + self.bias)
 
 
-def fit(docs: DataFrame, model: LabelModel, rows: int = TRAIN_ROWS) -> Scorer:
-    """The scorer, from the posteriors of about `rows` documents at most. Features are levels and the shares of n-grams."""
-    share = min(1.0, rows / max(1, docs.count()))
-    chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) < int(1_000_000 * share))
-    def entries(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def fit(docs: DataFrame, model: LabelModel, rows: int = TRAIN_ROWS, entries: int = TRAIN_ENTRIES) -> Scorer:
+    """The scorer, from the posteriors of about `rows` documents at most, whose features are `entries` or not many more.
+
+    Features are levels and the shares of n-grams; an empty table gives a scorer of nothing, with scores of 0.5.
+    """
+    chosen = bounded_sample(_texts(docs), rows, 11, "doc_id", "text")
+
+    def features(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=SLICE):
             n, texts = batch.num_rows, batch.column(1).to_pylist()
             votes, levels = judge(texts)
@@ -207,25 +212,42 @@ def fit(docs: DataFrame, model: LabelModel, rows: int = TRAIN_ROWS) -> Scorer:
             own = keys >> BITS
             total = np.bincount(own, weights=counts, minlength=n)
             cut = np.searchsorted(own, np.arange(1, n))
-            columns = [x.astype("<u4").tobytes() for x in np.split(keys & ((1 << BITS) - 1), cut)]
+            columns = [x.astype("<i4").tobytes() for x in np.split(keys & ((1 << BITS) - 1), cut)]
             values = [x.astype("<f4").tobytes() for x in np.split(counts / np.maximum(total, LEAST_GRAMS)[own], cut)]
-            yield pa.RecordBatch.from_arrays([pa.array(columns, pa.binary()), pa.array(values, pa.binary()), pa.array(votes.tolist(), pa.list_(pa.int32())), pa.array(levels.tolist(), pa.list_(pa.int32()))], names=["columns", "values", "votes", "levels"])
+            sizes = pa.array([len(x) // 4 for x in columns], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(2), sizes, pa.array(columns, pa.binary()), pa.array(values, pa.binary()), pa.array([x.astype("<i4").tobytes() for x in levels], pa.binary()), pa.array(model.posterior(votes))], names=["_hash", "size", "columns", "values", "levels", "target"])
 
-    seen = _texts(chosen).mapInArrow(entries, "columns binary, values binary, votes array<int>, levels array<int>").collect()
-    n = len(seen)
+    keyed = chosen.withColumn("_hash", F.xxhash64("doc_id", "text"))
+    table = scratch(keyed.mapInArrow(features, "_hash long, size long, columns binary, values binary, levels binary, target double"), "weak-label-rows")
+    seen = up_to(table, "size", entries).drop("_hash").toArrow()
+    n = seen.num_rows
     if not n:
         return Scorer(np.zeros(1 << BITS), 0.0)
-    levels = np.array([x["levels"] for x in seen], np.int64)
-    columns = [np.frombuffer(bytes(x["columns"]), "<u4").astype(np.int64) for x in seen]
-    values = [np.frombuffer(bytes(x["values"]), "<f4").astype(float) for x in seen]
-    which = np.concatenate([np.repeat(np.arange(n), [len(x) for x in columns]), np.repeat(np.arange(n), levels.shape[1])])
-    target = model.posterior(np.array([x["votes"] for x in seen]))
-    weights, bias = logistic(which, np.concatenate([*columns, levels.reshape(-1)]), np.concatenate([*values, np.ones(levels.size)]), target, 1 << BITS, l2=1e-4, steps=200)
+    flat = lambda name, kind: np.frombuffer(b"".join(seen.column(name).to_pylist()), kind)
+    levels, sizes, target = flat("levels", "<i4"), seen.column("size").to_numpy(), seen.column("target").to_numpy()
+    who = np.arange(n, dtype=np.int32)
+    which = np.concatenate([np.repeat(who, sizes), np.repeat(who, len(LABELLERS))])
+    columns, values = np.concatenate([flat("columns", "<i4"), levels]), np.concatenate([flat("values", "<f4"), np.ones(len(levels), np.float32)])
+    del seen
+    weights, bias = logistic(which, columns, values, target, 1 << BITS, l2=1e-4, steps=200)
+    del which, columns, values
+    release(session(docs))
     return Scorer(weights, bias)
 
 
+def accuracy_table(docs: DataFrame) -> DataFrame:
+    """labeller, accuracy (how often it is right when it votes), against_bad and against_good (shares of votes against), as estimated from all of `docs`."""
+    model = label_model(docs)
+    rows = [(x.name, float(a), float(t[0, 0]), float(t[1, 0])) for x, a, t in zip(LABELLERS, model.accuracies(), model.tables, strict=True)]
+    return session(docs).createDataFrame(rows, "labeller string, accuracy double, against_bad double, against_good double")
+
+
 def classify(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """doc_id, weak_label (posterior of its votes), score and kept (score of 0.5 or more) of every row of documents."""
+    """doc_id, weak_label (posterior of its votes), score and kept (score of 0.5 or more) of every row of documents.
+
+    A null text counts as empty: labellers that need words abstain on it, and it is scored like any other. Null ids stay null, repeated rows
+    are scored each and count each in estimating; other columns are ignored, whatever their names. An empty table gives none.
+    """
     model = label_model(docs)
     shared = session(docs).sparkContext.broadcast((model, fit(docs, model, rows)))
 
@@ -241,7 +263,7 @@ def classify(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """The rows of `docs` that score 0.5 or more, with their own columns."""
+    """The rows of `docs` that score 0.5 or more, with their own columns; nulls and repeats are as in classify()."""
     shared = session(docs).sparkContext.broadcast(fit(docs, label_model(docs), rows))
     at = docs.columns.index("text")
 

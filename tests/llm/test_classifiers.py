@@ -1,9 +1,11 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
-from skein.llm import linear, toxicity, weak_labels
+from skein.llm import common, linear, toxicity, weak_labels
 
 WORDS = "the of and river stone market winter garden people small under between carry window morning letter bread story".split()
 
@@ -73,6 +75,112 @@ def test_a_useless_labeller_counts_for_nothing():
     assert np.abs(gains).max() < 0.1
 
 
+def plain_estimate(rows, rounds):
+    """The same by loops over single rows."""
+    good = []
+    for r in rows:
+        g = 1 / (1 + math.exp(-2.0 * sum(r)))
+        good.append(min(g, 0.3) if -1 in r else g)
+    for _ in range(rounds):
+        tables = []
+        for k in range(len(rows[0])):
+            sides = []
+            for side in (0, 1):
+                against, for_ = weak_labels.BELIEF_VOTES * weak_labels.AGAINST[side], weak_labels.BELIEF_VOTES * (1 - weak_labels.AGAINST[side])
+                for r, g in zip(rows, good, strict=True):
+                    weight = g if side else 1 - g
+                    against, for_ = against + weight * (r[k] < 0), for_ + weight * (r[k] > 0)
+                sides.append((against / (against + for_), for_ / (against + for_)))
+            tables.append(sides)
+        prior = min(0.99, max(0.01, (sum(good) + 1) / (len(rows) + 2)))
+        good = []
+        for r in rows:
+            odds = prior / (1 - prior)
+            for vote, (bad, fine) in zip(r, tables, strict=True):
+                if vote:
+                    odds *= fine[vote > 0] / bad[vote > 0]
+            good.append(odds / (1 + odds))
+    return tables, prior, good
+
+
+def drawn(skill, share, n, abstain=0.0):
+    draw = np.random.default_rng(1)
+    truth = draw.random(n) < share
+    return truth, np.array([np.where(draw.random(n) < abstain, 0, np.where(draw.random(n) < np.where(truth, g, b), -1, 1)) for g, b in skill]).T
+
+
+def test_estimates_are_those_of_plain_loops():
+    _, votes = drawn([(0.1, 0.8), (0.3, 0.6), (0.05, 0.5), (0.4, 0.4)], 0.6, 300, 0.2)
+    tables, prior, good = plain_estimate(votes.tolist(), 25)
+    model = weak_labels.estimate(votes, np.ones(len(votes)), rounds=25)
+    assert np.allclose(model.tables, tables, atol=1e-9) and abs(model.prior - prior) < 1e-9
+    assert np.allclose(model.posterior(votes), good, atol=1e-9)
+
+
+def test_unlike_accuracies_are_recovered():
+    skill = [(0.20, 0.90), (0.05, 0.95), (0.40, 0.45), (0.10, 0.80), (0.02, 0.70)]
+    for abstain, least in ((0.0, 0.97), (0.3, 0.94)):
+        truth, votes = drawn(skill, 0.7, 50_000, abstain)
+        model = weak_labels.estimate(*np.unique(votes, axis=0, return_counts=True))
+        assert np.mean((model.posterior(votes) >= 0.5) == truth) > least and abs(model.prior - 0.7) < 0.02
+        found = model.tables[:, :, 0]
+        assert np.allclose(found, [(b, g) for g, b in skill], atol=0.03), found
+        right = [np.mean((votes[:, k] > 0)[votes[:, k] != 0] == truth[votes[:, k] != 0]) for k in range(len(skill))]
+        assert np.allclose(model.accuracies(), right, atol=0.05)
+
+
+def test_samples_are_bounded_and_never_empty(spark):
+    many = spark.range(20_000).selectExpr("id AS doc_id", "cast(id AS string) AS text")
+    assert 100 < common.bounded_sample(many, 200, 7, "doc_id", "text").count() < 400
+    assert common.bounded_sample(many, 30_000, 7, "doc_id", "text").count() == 20_000
+    # One id for all rows, then one row for all.
+    for one in (many.selectExpr("7L AS doc_id", "text"), many.selectExpr("cast(null AS long) AS doc_id", "text"), many.selectExpr("7L AS doc_id", "'x' AS text")):
+        assert 100 <= common.bounded_sample(one, 200, 7, "doc_id", "text").count() < 400
+    tiny = common.bounded_sample(many, 1, 3, "doc_id", "text").count()
+    assert 1 <= tiny <= 2
+    sized = many.selectExpr("xxhash64(doc_id) AS _hash", "10L AS size")
+    assert common.up_to(sized, "size", 1000).count() == 100 and common.up_to(sized, "size", 10**9).count() == 20_000
+
+
+def test_long_texts_and_accuracies(spark):
+    draw = random.Random(6)
+    rows = [(k, " ".join(draw.choice(WORDS) for _ in range(40))) for k in range(60)] + [(100, " ".join(draw.choice(WORDS) for _ in range(400_000))), (101, "x" * 2_000_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r for r in weak_labels.classify(docs).collect()}
+    assert len(found) == 62 and found[100].kept
+    marks = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    assert toxicity.classify(docs, marks).count() == 62
+    table = weak_labels.accuracy_table(docs).collect()
+    assert [r.labeller for r in table] == [x.name for x in weak_labels.LABELLERS] and all(0 < r.accuracy <= 1 for r in table)
+
+
+def test_toxicity_against_a_second_implementation(spark):
+    """Log-count ratios, the choice of n-grams and scores by dictionaries."""
+    draw = random.Random(2)
+    rows = [(k, " ".join([*(draw.choice(WORDS) for _ in range(12)), *(["vileword"] if k % 3 == 0 else [])]), float(k % 3 == 0)) for k in range(90)]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, y double"))
+    seen = [{int(b) for _, bucket in linear.grams([t]) for b in bucket} for _, t, _ in rows]
+    pos, neg = Counter(), Counter()
+    for own, (_, _, y) in zip(seen, rows, strict=True):
+        (pos if y else neg).update(own)
+    both = sorted({*pos, *neg})
+    sum_pos, sum_neg = (sum(c[b] + 1.0 for b in both) for c in (pos, neg))
+    ratio = {b: math.log((pos[b] + 1.0) / sum_pos) - math.log((neg[b] + 1.0) / sum_neg) for b in both}
+    n, n_pos = len(rows), sum(y for _, _, y in rows)
+
+    def chi2(b):
+        total = pos[b] + neg[b]
+        expected = total * n_pos / n
+        return (pos[b] - expected) ** 2 / (expected * (1 - n_pos / n) * (1 - total / (n + 1)))
+
+    chosen = {b for b in both if pos[b] + neg[b] >= toxicity.LEAST_DOCUMENTS and abs(ratio[b]) >= toxicity.LEAST_RATIO and chi2(b) >= toxicity.LEAST_CHI2}
+    assert {int(b) for b in np.flatnonzero(model.weights)} <= chosen and len(chosen) > 5
+    assert {b for b in chosen if abs(model.weights[b]) > 0} == {int(b) for b in np.flatnonzero(model.weights)}
+    want = [1 / (1 + math.exp(-model.bias - sum(float(model.weights[b]) for b in own))) for own in seen]
+    assert np.allclose(model.scores([t for _, t, _ in rows]), want, atol=1e-6)
+    assert all((w > 0.5) == (y > 0.5) for w, (_, _, y) in zip(want, rows, strict=True))
+
+
 def test_junk_goes_and_prose_stays(spark):
     draw = random.Random(4)
     prose = lambda: " ".join(draw.choice(WORDS) for _ in range(draw.randint(30, 90))).capitalize() + "."
