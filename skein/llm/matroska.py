@@ -202,15 +202,24 @@ def parse(data: bytes) -> Movie:
                                 _packets(data, u, v, begun, index, movie)
                 movie.clusters.append((place, begun))
             elif part == CUES:
-                for _, _, x, y in children(data, a, b, part):
-                    inner = {c: (u, v) for c, _, u, v in children(data, x, y, CUE_POINT)}
-                    spot = {c: number(u, v) for c, _, u, v in children(data, *inner[CUE_TRACK_POSITIONS], CUE_TRACK_POSITIONS)}
-                    movie.cues.append((number(*inner[CUE_TIME]), spot.get(CUE_TRACK, 0), start + spot.get(CUE_CLUSTER_POSITION, 0)))
+                for k, at, x, y in children(data, a, b, part):
+                    if k == CUE_POINT:
+                        movie.cues += _cues(data, at, x, y, start)
     if not seen:
         raise Damaged("no EBML header")
     return movie
 
 
+def _cues(data: bytes, place: int, at: int, end: int, segment: int) -> list[tuple[int, int, int]]:
+    """(time, track, place of the cluster) for every track position of a cue point; checksums and padding are passed over."""
+    inner = [(c, u, v) for c, _, u, v in children(data, at, end, CUE_POINT)]
+    times = [int.from_bytes(data[u:v], "big") for c, u, v in inner if c == CUE_TIME]
+    spots = [{c: int.from_bytes(data[x:y], "big") for c, _, x, y in children(data, u, v, kind)} for kind, u, v in inner if kind == CUE_TRACK_POSITIONS]
+    if not times or not spots or any(CUE_TRACK not in x or CUE_CLUSTER_POSITION not in x for x in spots):
+        raise Damaged(f"a cue point at {place} lacks its time, track or position")
+    return [(times[0], x[CUE_TRACK], segment + x[CUE_CLUSTER_POSITION]) for x in spots]
+
+
 def _packets(data: bytes, at: int, end: int, begun: int, cluster: int, movie: Movie) -> None:
     track, _, at = read_vint(data, at, end)
     if at + 3 > end:
@@ -297,5 +306,9 @@ def features(stored: DataFrame) -> DataFrame:
 
 
 def media_features(docs: DataFrame) -> DataFrame:
-    """Stores every text as a Matroska file in a scratch table, reads the stored bytes back, and describes them."""
+    """Stores every text as a Matroska file in a scratch table, reads the stored bytes back, and describes them.
+
+    A null text counts as empty, null ids stay null, repeated rows are files of their own with equal values; other columns
+    are ignored, whatever their names. An empty table gives none. A worker holds one slice of texts, or one long text, at a time.
+    """
     return features(scratch(store(docs), "media"))
