@@ -1,6 +1,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from skein.llm import quality_rules as q
 
 
@@ -45,9 +47,32 @@ def test_rules_reject_what_they_name(spark):
 
 
 def test_cascade_short_circuits_by_worth(spark):
-    from pyspark.sql import functions as F
-
     good, late = q.Rule("good", F.col("n") > 5), q.Rule("late", F.raise_error(F.lit("evaluated")).cast("boolean"))
     ordered = [q.Estimate(good, 1.0, 0.9), q.Estimate(late, 1.0, 0.1)]
     assert [r.by for r in spark.range(6, 9).withColumnRenamed("id", "n").select(q.cascade(ordered).alias("by")).collect()] == ["good"] * 3
     assert q.Estimate(good, 2.0, 0.5).worth < q.Estimate(good, 1.0, 0.5).worth
+
+
+def test_costs_differ_and_the_cascade_saves_work(spark):
+    """Rules that go through texts cost more than comparisons; rows that one rule rejects never reach the next."""
+    clean = "The committee met on Tuesday and agreed that the new bridge should open before winter comes again."
+    rows = [(k, f"{clean} {k} " * 3 if k % 3 else " | ".join(f"cell{k + i}" for i in range(30))) for k in range(300)]
+    docs = spark.createDataFrame([(k, t + " ".join(f"w{k}x{i}" for i in range(200))) if k % 3 else (k, t) for k, t in rows], "doc_id long, text string")
+    dear = q.Rule("dear", F.size(F.array_distinct(F.transform(F.split("_text", ""), lambda x: F.md5(x)))) < 2)
+    cheap = next(x for x in q.rules() if x.name == "symbols")
+    ordered = q.plan(docs, [dear, cheap])
+    cost = {x.rule.name: x.seconds for x in ordered}
+    assert [x.rule.name for x in ordered] == ["symbols", "dear"] and cost["dear"] > 10 * max(cost["symbols"], 0.05)
+    found = q.judge(docs, ordered=ordered)
+    left = found.where("not base_failed").count()
+    table = {r.rule: (r.place, r.evaluated, r.rejected) for r in q.saved(found, ordered).collect()}
+    assert table["symbols"][:2] == (1, left) and table["symbols"][2] == found.where("rejected_by = 'symbols'").count() > 50
+    assert table["dear"] == (2, left - table["symbols"][2], 0)
+
+
+def test_long_text_and_clashing_columns(spark):
+    draw = random.Random(4)
+    long = " ".join("".join(draw.choice("abcdefgh") for _ in range(7)) for _ in range(100_000))
+    docs = spark.createDataFrame([(1, long), (2, "y" * 1_000_000)], "doc_id long, text string").selectExpr("*", *[f"1 AS {c}" for c in ("_words", "_lines", "_hashes", "n_lines", "base_failed", "kept", "rejected_by", "_copy")])
+    found = {r.doc_id: r for r in q.judge(docs).collect()}
+    assert found[1].n_words == 100_000 and found[1].kept and not found[2].kept
