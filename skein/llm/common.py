@@ -80,6 +80,17 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             yield batch.slice(start)
 
 
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """`names`, each with as many underscores after it as it takes to be no name of `taken`, whatever its case."""
+    used, out = {x.lower() for x in taken}, []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def bounded_sample(df: DataFrame, rows: int, seed: int, *keys: str) -> DataFrame:
     """About `rows` rows of `df` where it has more, all of them otherwise: those whose hash of `keys` is low.
 

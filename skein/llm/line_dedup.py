@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, scratch  # noqa: F401
+from .common import free_names, scratch
 
 #: A line on so many distinct sites is boilerplate. Shorter lines than this many words are left alone.
 SITES, LEAST_WORDS = 5, 3
@@ -20,21 +20,19 @@ BROADCAST_ROWS = 500_000
 SALTS = 32
 
 
-def keyed(docs: DataFrame, site: str) -> DataFrame:
-    """Every row with `_site`, `_lines` and its own key: two hashes of its id and text. Equal rows have equal keys."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select("doc_id", F.col(site).cast("string").alias("_site"), text.alias("_text"))
-
-
 def row_key(doc_id: Column, text: Column) -> tuple[Column, Column]:
     return F.coalesce(doc_id.cast("long"), F.lit(-1)), F.xxhash64(doc_id, text)
 
 
 def exploded(docs: DataFrame, site: str, least_words: int) -> DataFrame:
-    """(h1, h2, site, doc, dh, pos) of every line with at least `least_words` words; h1 and h2 make a key of 128 bits."""
+    """(h1, h2, site, doc, dh, pos) of every line with at least `least_words` words; h1 and h2 make a key of 128 bits.
+
+    A null site is told from an empty one by the letter before it.
+    """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     a, b = row_key(F.col("doc_id"), text)
-    lines = docs.select(a.alias("doc"), b.alias("dh"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    name = F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit("n"))
+    lines = docs.select(a.alias("doc"), b.alias("dh"), name.alias("site"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     gap = f"(?:[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]+){{{max(0, least_words - 1)}}}[^\\x20\\x09-\\x0D]"
     lines = lines.where(F.col("line").rlike(gap))
     return lines.select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(0x5EED), "line").alias("h2"), "site", "doc", "dh", F.col("pos").cast("int").alias("pos"))
@@ -62,7 +60,8 @@ def boilerplate(lines: DataFrame, sites: int = SITES) -> DataFrame:
 
 
 def clean(docs: DataFrame, site: str = "source", sites: int = SITES, least_words: int = LEAST_WORDS) -> DataFrame:
-    """All rows of `docs` with `text` freed of boilerplate, and n_lines and n_removed.
+    """All rows of `docs` with `text` freed of boilerplate, and n_lines and n_removed; if `docs` has columns of these names
+    itself, those stay as they are and the new ones get underscores after their names.
 
     Of a line on at least `sites` distinct sites, the first occurrence (by doc_id, then line) stays and all others go,
     those in the same document included. A null site is a site of its own; a null text has no lines and stays null.
@@ -80,22 +79,25 @@ def clean(docs: DataFrame, site: str = "source", sites: int = SITES, least_words
         dealt = found.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         hits = narrow.withColumn("_salt", F.pmod(F.xxhash64("doc", "pos"), F.lit(SALTS)).cast("int")).join(dealt, ["h1", "h2", "_salt"])
     first = (F.col("doc") == F.col("_doc")) & (F.col("dh") == F.col("_dh")) & (F.col("pos") == F.col("_pos"))
-    gone = hits.where(~first).groupBy("doc", "dh").agg(F.collect_set("pos").alias("_gone"))
-    gone = scratch(gone.select(F.col("doc").alias("_gdoc"), F.col("dh").alias("_gdh"), "_gone"), "gone-lines")
+    key, other, gone_at, split_at, n_lines, n_removed = free_names(columns, "_doc", "_hash", "_gone", "_split", "n_lines", "n_removed")
+    gone = hits.where(~first).groupBy("doc", "dh").agg(F.collect_set("pos").alias(gone_at))
+    gone = scratch(gone.select(F.col("doc").alias(key), F.col("dh").alias(other), gone_at), "gone-lines")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     a, b = row_key(F.col("doc_id"), text)
     # One row for each document that loses lines, so never broadcast.
-    joined = docs.join(gone.hint("merge"), (a == F.col("_gdoc")) & (b == F.col("_gdh")), "left")
-    split = F.split(F.col("text"), "\n")
-    # Each position is looked up once; a document's removed positions are its own lines and so bounded by it.
-    left = F.filter(split, lambda _, i: ~F.array_contains(F.col("_gone"), i))
-    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
-    more = [F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed")]
-    return joined.select(*[kept.alias("text") if c == "text" else F.col(c) for c in columns if c not in ("n_lines", "n_removed")], *more)
+    joined = docs.join(gone.hint("merge"), (a == F.col(key)) & (b == F.col(other)), "left")
+    joined = joined.select(*columns, gone_at, F.split(F.col("text").cast("string"), "\n").alias(split_at))
+    n = F.when(F.col("text").isNull(), 0).otherwise(F.size(split_at))
+    # Places left are those of all lines without the removed ones, by hashing; a line is then read by its place.
+    left = F.array_except(F.sequence(F.lit(0), n - 1), F.col(gone_at))
+    lines_left = F.array_join(F.transform(left, lambda i: F.get(F.col(split_at), i)), "\n")
+    kept = F.when(F.col(gone_at).isNull(), F.col("text")).when(F.size(gone_at) == n, F.lit("")).otherwise(lines_left)
+    removed = F.when(F.col(gone_at).isNull(), 0).otherwise(F.size(gone_at))
+    return joined.select(*[kept.alias(c) if c == "text" else F.col(c) for c in columns], n.cast("long").alias(n_lines), removed.cast("long").alias(n_removed))
 
 
 SQL = rf"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS site, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, coalesce('s' || source, 'n') AS site, coalesce(text, '') AS t FROM documents),
 l AS (SELECT doc_id, site, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d),
 k AS (SELECT * FROM l WHERE regexp_matches(line, '(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]+){{{LEAST_WORDS - 1}}}[^\x20\x09-\x0D]')),
 spread AS (SELECT line, min((doc_id, pos)) AS first FROM k GROUP BY line HAVING count(DISTINCT site) >= {SITES}),

@@ -8,7 +8,7 @@ def brute(rows, sites=5, words=3):
     for doc, text, site in sorted(rows, key=lambda r: r[0]):
         for pos, line in enumerate((text or "").split("\n")):
             if len(line.split()) >= words:
-                seen[line].add(site or "")
+                seen[line].add(site)
                 first.setdefault(line, (doc, pos))
     out = {}
     for doc, text, _ in rows:
@@ -40,6 +40,30 @@ def test_near_threshold_is_exact(spark):
         assert found == brute(rows)
 
 
+def test_null_and_empty_sites_are_two(spark):
+    rows = [(k, "one line on four sites or five", site) for k, site in enumerate(["a", "b", "c", "", None])]
+    assert sum(r.n_removed for r in rows_of(spark, rows)) == 4
+    assert sum(r.n_removed for r in rows_of(spark, rows[:-1] + [(9, "one line on four sites or five", "")])) == 0
+
+
+def test_clashing_columns_stay(spark):
+    rows = [(k, "a line on every site\nown line of " + str(k), f"s{k}") for k in range(6)]
+    more = ["n_lines", "N_Removed", "_gone", "_doc", "_hash", "_split", "pos", "dh"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", *[f"99 + {k} AS {c}" for k, c in enumerate(more)])
+    found = d.clean(docs)
+    assert found.columns == [*docs.columns, "n_lines_", "n_removed_"]
+    for r in found.collect():
+        assert [r[c] for c in more] == [99 + k for k in range(len(more))]
+        assert (r.n_lines_, r.n_removed_) == (2, int(r.doc_id > 0))
+
+
+def test_long_documents_and_all_lines_removed(spark):
+    lines = [f"boiler plate line {k}" for k in range(3000)]
+    rows = [(k, "\n".join(lines), f"s{k}") for k in range(5)] + [(9, "\n".join([*lines, "a last line of its own"] * 20), "s9")]
+    found = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in rows_of(spark, rows)}
+    assert found == brute(rows) and found[4][0] == ""
+
+
 def test_sketches_of_many_sites(spark):
     rows = [(k, "a line on very many sites", f"site{k}") for k in range(3000)]
     found = rows_of(spark, rows, sites=2900)
