@@ -27,8 +27,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go but for their first occurrence; so do documents of which nothing else is left. n_chars follows."""
     out = line_dedup.clean(docs, "source")
-    left = (F.col("n_removed") == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")
-    n_chars = F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    # The last column counts removed lines, whatever its name among those of the table.
+    removed = F.col(out.columns[-1])
+    left = (removed == 0) | F.col("text").rlike("[^\\x20\\x09-\\x0D]")
+    n_chars = F.when(removed > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.where(left).withColumn("n_chars", n_chars).select(*docs.columns)
 
 
