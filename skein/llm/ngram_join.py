@@ -198,7 +198,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
     # Who shares fewer signatures with all others together than a link needs has none.
     enough = shared.groupBy("doc", "meta").count().where(F.col("count") >= needed(percent, "meta")).select("doc", "meta")
-    shared = scratch(met(shared.join(enough, ["doc", "meta"])), "likely-signatures")
+    shared = scratch(shared.join(enough, ["doc", "meta"]), "likely-signatures")
     sets = scratch(tokens_of(docs, scratch(shared.select("doc").distinct(), "candidates"), n, nodes), "candidate-sets")
 
     # A shingle that no other candidate has is in no intersection; what is left of a set bounds all of them.
@@ -232,10 +232,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
 
 def met(rows: DataFrame) -> DataFrame:
-    """The rows of signatures (sig, doc, ...) that two documents or more have. Signatures aggregate before they are joined
-    back, so that one which a third of all documents have is no single task's."""
-    keys = rows.groupBy("sig").agg(F.min("doc").alias("_low"), F.max("doc").alias("_top")).where("_low < _top").select("sig")
-    keys = scratch(keys, "met-signatures")
+    """The rows of signatures (sig, doc, ...) that two documents or more have; a document has a signature once. Signatures are
+    counted before they are joined back, so that one which a third of all documents have is no single task's."""
+    keys = scratch(rows.groupBy("sig").count().where("count > 1").select("sig"), "met-signatures")
     return rows.join(F.broadcast(keys) if keys.count() <= MET_ROWS else keys, "sig", "left_semi")
 
 
@@ -247,7 +246,8 @@ def stars(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     own = shared.join(groups, "doc", "left").select("sig", "meta", "common", "doc", F.coalesce("comp", "doc").alias("grp"))
     order = F.struct(_size("meta") - F.col("common"), "doc")
     hubs = own.groupBy("sig").agg(F.min(F.struct(order.alias("o"), "doc", "grp", "meta", "common")).alias("hub"))
-    led = own.join(hubs, "sig").where("grp <> hub.grp")
+    # Hubs grow with signatures, so they are never broadcast.
+    led = own.join(hubs.hint("merge"), "sig").where("grp <> hub.grp")
     led = led.where(F.least("common", "hub.common") >= overlap(percent, _size("meta") + _size("hub.meta")))
     counted = led.groupBy("doc", F.col("hub.doc").alias("hub"), "meta").count().where(2 * F.col("count") >= needed(percent, "meta"))
     return counted.select(*_ordered(F.col("doc"), F.col("hub"))).distinct()
@@ -279,7 +279,7 @@ def open_groups(shared: DataFrame, groups: DataFrame, sets: DataFrame, percent:
     asking = asking & (F.least("common", "most") >= overlap(percent, _size("meta") + F.col("least")))
     # A group of one has its document's parity.
     asking = asking & ((F.col("among") > 1) | _near(percent, _size("meta") + F.col("least")))
-    asked = shown.join(matrix, "sig").where(asking).groupBy("doc", "meta", "other", "among").count().where(F.col("count") >= needed(percent, "meta"))
+    asked = shown.join(matrix.hint("merge"), "sig").where(asking).groupBy("doc", "meta", "other", "among").count().where(F.col("count") >= needed(percent, "meta"))
     asked = scratch(asked.select("doc", "other", F.col("among").alias("members")).distinct(), "asked-groups")
 
     # The union of a group's shingles bounds its overlap with a document. A group of one is compared at once.
