@@ -25,8 +25,6 @@ from .shingles import Partition, mix, shingle_sets
 
 #: Up to so many ids (8 bytes each) are broadcast; beyond, joins shuffle.
 BROADCAST_ROWS = 500_000
-#: Signatures that meet are broadcast up to this number; each takes about 30 bytes in a task's hash table.
-MET_ROWS = 1_000_000
 #: Bytes of text that a worker hashes at once; its arrays take about fifty times as much.
 SLICE = 1 << 20
 #: Classes of equal sets with more documents than this are joined by broadcast; there are fewer of them than rows by so many.
@@ -234,8 +232,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 def met(rows: DataFrame) -> DataFrame:
     """The rows of signatures (sig, doc, ...) that two documents or more have; a document has a signature once. Signatures are
     counted before they are joined back, so that one which a third of all documents have is no single task's."""
-    keys = scratch(rows.groupBy("sig").count().where("count > 1").select("sig"), "met-signatures")
-    return rows.join(F.broadcast(keys) if keys.count() <= MET_ROWS else keys, "sig", "left_semi")
+    keys = rows.groupBy("sig").count().where("count > 1").select("sig")
+    return rows.join(keys.hint("merge"), "sig", "left_semi")
 
 
 def stars(shared: DataFrame, groups: DataFrame, percent: int) -> DataFrame:

@@ -54,7 +54,7 @@ def corpus(seed, families=25):
 def test_components_against_brute_force(spark, monkeypatch, n, percent, seed, most):
     """`most`: bounds so small that nothing but large classes is broadcast."""
     if most:
-        for bound in ("BROADCAST_ROWS", "MET_ROWS", "HOT_ROWS"):
+        for bound in ("BROADCAST_ROWS", "HOT_ROWS"):
             monkeypatch.setattr(j, bound, most)
     rows = corpus(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "doc_id AS doc", "text AS sig", "doc_id AS rep")
