@@ -10,7 +10,7 @@ import numpy as np
 #: n-gram sizes and the base-2 logarithm of the number of buckets.
 SIZES, BITS = (3, 4, 5), 20
 #: Bytes of text that a worker takes at once; arrays of its n-grams take up to a hundred times as much.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def grams(texts: list[str], sizes: tuple[int, ...] = SIZES, bits: int = BITS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
