@@ -232,10 +232,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 def met(rows: DataFrame) -> DataFrame:
     """The rows of signatures (sig, doc, ...) that two documents or more have; a document has a signature once. Signatures are
     counted before they are joined back, so that one which a third of all documents have is no single task's."""
-    # Nearly all signatures are distinct. The struct makes Spark aggregate by sorting, which the join needs anyway, where a hash
-    # table of them would take several times the memory.
-    seen = rows.groupBy("sig").agg(F.min(F.struct("doc")).alias("_low"), F.count(F.lit(1)).alias("_n"))
-    keys = seen.where(F.col("_n") > F.when(F.col("_low").isNotNull(), 1).otherwise(0)).select("sig")
+    # Nearly all signatures are distinct. The string, always empty, makes Spark aggregate by sorting, which the join needs anyway,
+    # where a hash table of them would take several times the memory.
+    seen = rows.groupBy("sig").agg(F.max(F.lit("")).alias("_sorted"), F.count(F.lit(1)).alias("_n"))
+    keys = seen.where((F.col("_n") > 1) & F.col("_sorted").isNotNull()).select("sig")
     return rows.join(keys.hint("merge"), "sig", "left_semi")
 
 
