@@ -118,6 +118,30 @@ def closure(edges: DataFrame) -> DataFrame:
         reach *= 2
 
 
+def supporting_paths(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(pair_id, path): the decisions along the shortest way from source to target of each pair, the smallest of equally short ones.
+
+    pairs: pair_id, source, target; edges: source, target, decision_id, in both directions for relations that have none. All pairs
+    go one step a round; of ways to one node the first stays, so a round holds a row for each pair and node at most.
+    """
+    step = edges.select(F.col("source").alias("_from"), F.col("target").alias("_to"), F.col("decision_id").cast("string").alias("_by"))
+    front = cut(pairs.select("pair_id", F.col("target").alias("_goal"), F.col("source").alias("_at"), F.array().cast("array<string>").alias("path")))
+    seen, found = front.select("pair_id", "_at"), front.where("_at = _goal").select("pair_id", "path")
+    front = front.where("_at <> _goal")
+    while front.limit(1).count():
+        grown = front.join(step, F.col("_at") == F.col("_from")).select("pair_id", "_goal", F.col("_to").alias("_at"), F.concat("path", F.array("_by")).alias("path"))
+        fresh = cut(grown.groupBy("pair_id", "_goal", "_at").agg(F.min("path").alias("path")).join(seen, ["pair_id", "_at"], "left_anti"))
+        found = found.unionByName(fresh.where("_at = _goal").select("pair_id", "path"))
+        front = fresh.join(fresh.where("_at = _goal").select("pair_id"), "pair_id", "left_anti")
+        seen = cut(seen.unionByName(fresh.select("pair_id", "_at")))
+    return found
+
+
+def seed_priority(relation: Column, source: Column) -> Column:
+    """The order in which decisions seed a graph: human equivalences, other human relations, then what the log has."""
+    return F.when((source == "human") & (relation == "interchangeable"), 0).when(source == "human", 1).otherwise(2)
+
+
 def infer(pairs: DataFrame, labels: DataFrame, edges: DataFrame) -> DataFrame:
     """pair columns with relation, direction and rule, by precedence: one component, a `different` edge, a `contains` path on or back."""
     projected = project(pairs, labels)

@@ -139,17 +139,24 @@ def function_schema(api_name: Column, tool: Column, description: Column, require
     return F.struct(name.alias("name"), F.concat(said, F.coalesce(F.when(non_blank(description).isNotNull(), more), F.lit(""))).alias("description"), F.concat(a, b).alias("properties"), names(a).alias("required"), names(b).alias("optional"))
 
 
+def placeholder(key: object, number: int) -> str | None:
+    """What stands for the value of a key that names a credential; None for other keys."""
+    plain = "_".join(re.findall("[一-龥a-zA-Z0-9]+", str(key))).lower()
+    return f"demo_{plain}_{number}" if re.search(SECRET, plain) else None
+
+
 def sanitized(value: object, number: int) -> object:
-    """Any JSON value with credentials, at every depth, replaced by placeholders."""
-    if isinstance(value, list):
-        return [sanitized(x, number) for x in value]
-    if not isinstance(value, dict):
-        return value
-    out = {}
-    for key, inner in value.items():
-        plain = re.sub("_+", "_", re.sub("[^一-龥a-zA-Z0-9_]", "_", str(key))).strip("_").lower()
-        out[key] = f"demo_{plain}_{number}" if re.search(SECRET, plain) else sanitized(inner, number)
-    return out
+    """Parsed JSON in which placeholders stand for credentials, whatever the depth; `value` is changed in place.
+
+    Containers wait on a stack, so nesting is bounded by memory and not by calls.
+    """
+    waiting = [value]
+    while waiting:
+        here = waiting.pop()
+        if isinstance(here, dict):
+            here.update({k: mark for k in here if (mark := placeholder(k, number))})
+        waiting += [x for x in (here.values() if isinstance(here, dict) else here) if isinstance(x, (dict, list))] if isinstance(here, (dict, list)) else []
+    return value
 
 
 def sanitize(value: Column, number: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions.text import AUDIT_STOPWORDS, LEXICAL_STOPWORDS, SCOPE_WORDS
 from ..operators.classify import ERRORS, REJECTED, REJECTED_AS_WRITTEN, STATUS
 from ..operators.qos import SCENARIOS
-from .queries import SAME, SEED
+from .queries import POOLED, SAME, SEED
 
 
 def _list(words: list[str]) -> str:
@@ -54,7 +54,22 @@ s AS (SELECT a.id AS source, b.id AS neighbor, round(list_dot_product(a.x, b.x)
 _TOP = "SELECT source, neighbor, score, CAST(row_number() OVER (PARTITION BY source ORDER BY score DESC, neighbor) AS INT) AS rank FROM s"
 _GLOBAL = f"{_KNN}, g AS ({_TOP} QUALIFY rank <= 10)"
 _GROUPED = f"h AS ({_TOP} WHERE la = lb QUALIFY rank <= 5)"
-_POOL = f"""{_GLOBAL}, {_GROUPED},
+
+
+def _bm25(corpus: str, k: int, where: str = "true") -> str:
+    return f"""
+w AS (SELECT doc_id, {_tokens('text', LEXICAL_STOPWORDS)} AS ws FROM {corpus}),
+t AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM w),
+tf AS (SELECT term, doc_id, count(*) AS tf, any_value(length) AS length FROM (SELECT doc_id, len(ws) AS length, unnest(ws) AS term FROM w) GROUP BY 1, 2),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+q AS (SELECT DISTINCT item_id AS query_id, unnest({_tokens('text', LEXICAL_STOPWORDS)}) AS term FROM benchmark),
+part AS (SELECT query_id, doc_id, ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean)) AS part FROM q JOIN tf USING (term) JOIN df USING (term), t),
+scored AS (SELECT query_id, doc_id, round(sum(CAST(part AS DOUBLE)), 6) AS score FROM part WHERE {where} GROUP BY 1, 2),
+top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM scored QUALIFY rank <= {k})"""
+
+_BM25 = _bm25("documents", 10)
+_POOL = f"""{_KNN}, g AS ({_TOP} QUALIFY rank <= {POOLED}),
+h AS (WITH {_bm25("(SELECT item_id AS doc_id, text FROM benchmark)", POOLED, "query_id <> doc_id")} SELECT query_id AS source, doc_id AS neighbor, score, rank FROM top),
 m AS (SELECT 'dense' AS method, * FROM g UNION ALL SELECT 'bm25', * FROM h),
 pool AS (SELECT least(source, neighbor) AS left_id, greatest(source, neighbor) AS right_id, method, count(*) AS hits, count(DISTINCT source) AS directions,
                 min(rank) AS best_rank, max(rank) AS worst_rank, max(score) AS best_score FROM m GROUP BY 1, 2, 3)"""
@@ -98,15 +113,6 @@ inferred AS (SELECT pair_id, CASE WHEN l = r THEN 'interchangeable' WHEN differ
              CASE WHEN l = r OR differ THEN 'none' WHEN forth IS NOT NULL THEN 'left_contains_right' WHEN back IS NOT NULL THEN 'right_contains_left' END AS inferred_direction,
              CASE WHEN l = r THEN 'interchangeable_component' WHEN differ THEN 'cluster_different_propagation' WHEN coalesce(forth, back) = 1 THEN 'cluster_contains_propagation' WHEN coalesce(forth, back) > 1 THEN 'transitive_cluster_contains' END AS rule FROM j)"""
 
-_BM25 = f"""
-w AS (SELECT doc_id, {_tokens('text', LEXICAL_STOPWORDS)} AS ws FROM documents),
-t AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM w),
-tf AS (SELECT term, doc_id, count(*) AS tf, any_value(length) AS length FROM (SELECT doc_id, len(ws) AS length, unnest(ws) AS term FROM w) GROUP BY 1, 2),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
-q AS (SELECT DISTINCT item_id AS query_id, unnest({_tokens('text', LEXICAL_STOPWORDS)}) AS term FROM benchmark),
-part AS (SELECT query_id, doc_id, ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean)) AS part FROM q JOIN tf USING (term) JOIN df USING (term), t),
-scored AS (SELECT query_id, doc_id, round(sum(CAST(part AS DOUBLE)), 6) AS score FROM part GROUP BY 1, 2),
-top AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM scored QUALIFY rank <= 10)"""
 
 _DONORS = """
 line AS (SELECT l_suppkey, avg(l_discount) AS d, avg(CAST(l_returnflag = 'R' AS INT)) AS r, avg(l_extendedprice) AS p FROM lineitem GROUP BY 1),

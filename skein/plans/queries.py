@@ -97,10 +97,17 @@ def dense_knn_other_tools(spark, sf):
     return retrieval.dense_topk(vectors(spark, sf), k=5, exclude=F.col("label"))
 
 
+#: Neighbours that each method puts into the pool.
+POOLED = 30
+
+
 @query
 def pair_pool(spark, sf):
-    both = dense_knn_global(spark, sf).withColumn("method", F.lit("dense")).unionByName(dense_knn_by_group(spark, sf).withColumn("method", F.lit("bm25")))
-    return retrieval.pool_pairs(both)
+    """Entities with one number: an item's text by BM25 among the items, its vector by cosine among the vectors."""
+    items = table(spark, sf, "benchmark")
+    lexical = retrieval.bm25_topk(items.select(F.col("item_id").alias("query_id"), "text"), items.select(F.col("item_id").alias("doc_id"), "text"), k=POOLED, exclude_self=True)
+    lexical = lexical.select(F.col("query_id").alias("source"), F.col("doc_id").alias("neighbor"), "score", "rank", F.lit("bm25").alias("method"))
+    return retrieval.pool_pairs(retrieval.dense_topk(vectors(spark, sf), k=POOLED).withColumn("method", F.lit("dense")).unionByName(lexical))
 
 
 @query
@@ -111,7 +118,7 @@ def pair_features_strata(spark, sf):
 
 @query
 def stratified_sample(spark, sf):
-    rows = pair_features_strata(spark, sf).select("pair_id", "stratum")
+    rows = graph.cut(pair_features_strata(spark, sf).select("pair_id", "stratum"))
     return sampling.stratified_sample(rows, "stratum", "pair_id", 200, SEED)
 
 
@@ -197,8 +204,10 @@ def unordered_pair_regression(spark, sf):
     return joined.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def component_labels(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.components(vectors(spark, sf).select("id"), _pairs(spark, sf).where(F.col("score") >= SAME).select("left_id", "right_id"))
+def component_labels(spark: SparkSession, sf: str, pairs: DataFrame | None = None) -> DataFrame:
+    """Components of near pairs; `pairs` are those that were found before."""
+    pairs = _pairs(spark, sf) if pairs is None else pairs
+    return graph.components(vectors(spark, sf).select("id"), pairs.where(F.col("score") >= SAME).select("left_id", "right_id"))
 
 
 @query
@@ -227,15 +236,17 @@ def contains_closure(spark, sf):
 
 @query
 def cluster_edges(spark, sf):
-    found = graph.cluster_edges(graph.project(decisions(spark, sf), component_labels(spark, sf)))
+    rows = graph.cut(decisions(spark, sf))
+    found = graph.cluster_edges(graph.project(rows, component_labels(spark, sf, rows)))
     return found.select("relation", "source_root", "target_root", "support_count", F.array_join("support", ",").alias("support"))
 
 
 @query
 def infer_relations(spark, sf):
-    labels = graph.cut(component_labels(spark, sf))
-    direct = decisions(spark, sf).where("decision_source <> 'inferred'")
-    pairs = decisions(spark, sf).where("decision_source = 'inferred'").select("pair_id", "left_id", "right_id")
+    rows = graph.cut(decisions(spark, sf))
+    labels = component_labels(spark, sf, rows)
+    direct = rows.where("decision_source <> 'inferred'")
+    pairs = rows.where("decision_source = 'inferred'").select("pair_id", "left_id", "right_id")
     return graph.infer(pairs, labels, graph.cluster_edges(graph.project(direct, labels))).select("pair_id", "inferred_relation", "inferred_direction", "rule")
 
 
@@ -247,8 +258,8 @@ def candidate_coverage(spark, sf):
 
 @query
 def graph_diagnostics(spark, sf):
-    labels = graph.cut(component_labels(spark, sf))
-    projected = graph.project(decisions(spark, sf), labels)
+    rows = graph.cut(decisions(spark, sf))
+    projected = graph.project(rows, component_labels(spark, sf, rows))
     return graph.diagnostics(projected, graph.cluster_edges(projected))
 
 

@@ -104,3 +104,30 @@ def markdown_table(df: DataFrame, most: int = 200) -> str:
     rows = [df.columns, *[[str(v) for v in r] for r in df.limit(most).collect()]]
     lines = ["| " + " | ".join(r) + " |" for r in rows]
     return "\n".join([lines[0], "|" + " --- |" * len(df.columns), *lines[1:]])
+
+
+def setting(name: str, env: dict[str, str], config: dict, default: str | None = None) -> str | None:
+    """A setting by its environment variable (NAME), else by the configuration (name), else the default; empty ones count as missing."""
+    return env.get(name.upper()) or config.get(name) or default
+
+
+def read_queries(spark: SparkSession, root: str) -> DataFrame:
+    """(path, position, query) of every object in every JSON file below `root` that holds an array; other roots and elements are passed over.
+
+    `query` is a variant, so its fields may be of any kind.
+    """
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root, wholetext=True)
+    parsed = files.select(F.input_file_name().alias("path"), F.try_parse_json("value").alias("_v")).where(F.startswith(F.schema_of_variant("_v"), F.lit("ARRAY")))
+    kinds = parsed.select("path", F.posexplode(F.try_variant_get("_v", "$", "array<variant>")).alias("position", "query"))
+    return kinds.where(F.startswith(F.schema_of_variant("query"), F.lit("OBJECT")))
+
+
+def query_endpoints(queries: DataFrame) -> DataFrame:
+    """(api_id, descriptor): every API that queries name, with its longest description as JSON; of equally long ones that of the first file."""
+    from ..functions import ids
+    from ..operators.catalog import largest
+
+    apis = queries.select("path", "position", F.posexplode(F.try_variant_get("query", "$.api_list", "array<variant>")).alias("_k", "_a"))
+    get = lambda name: F.try_variant_get("_a", f"$.{name}", "string")
+    rows = apis.select(ids.api_id(get("category_name"), get("tool_name"), get("api_name")).alias("api_id"), F.to_json("_a").alias("descriptor"), F.xxhash64("path").alias("_p"), (F.col("position") * 100_000 + F.col("_k")).alias("seq"))
+    return largest(rows.select("api_id", "descriptor", "seq"), "api_id", "descriptor", "seq").select("api_id", "descriptor")
