@@ -17,6 +17,16 @@ from pyspark.sql import functions as F
 SALTS = 64
 
 
+#: Rows of an Arrow batch for a Python worker, which keeps both ends of the pipe small where texts are long.
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sets BATCH_ROWS in sessions where nobody has chosen another number."""
+    if spark.conf.get(BATCH_KEY, None) is None:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
+
+
 def session(df: DataFrame) -> SparkSession:
     return df.sparkSession
 
@@ -36,6 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """`df` written as Parquet in the shared folder and read back: cuts the lineage and survives lost executors."""
     spark = session(df)
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -121,6 +132,7 @@ def up_to(df: DataFrame, size: str, most: int) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table; Python workers on this machine are also told where this package is."""
+    small_batches(spark)
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
