@@ -11,7 +11,7 @@ from skein.llm.common import documents, labels, scratch
 
 
 #: Chunks that a tokenising worker remembers here; its memory also holds what earlier stages used.
-CACHE = 60_000
+CACHE = 40_000
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
