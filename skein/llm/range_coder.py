@@ -16,8 +16,8 @@ import numpy as np
 
 #: Ids of a block at most.
 BLOCK = 2048
-#: The code space is 2**SPACE; order 0 keeps 2**LEAST of it at least, and a block's counts sum up to less than that.
-SPACE, LEAST = 22, 15
+#: The code space is 2**SPACE; order 0 keeps 2**LEAST of it at least, and a block's counts sum up to less than that; a prediction keeps SOME.
+SPACE, LEAST, SOME = 22, 15, 64
 #: Largest id, and classes of magnitude: two for each power of two.
 MOST_ID, SLOTS = (1 << 32) - 1, 64
 #: Weights start from these in units of 2**-16: order 2, 1 and 0 for the first prediction, 1 and 0 for the second.
@@ -117,9 +117,11 @@ class Lanes:
         self.in2 = [vote2, np.where(same, vote1, np.where(self.c1 > 0, -(vote1 >> 1), 0)), zero2]
         self.in1 = [vote1, zero1]
         self.p2, self.p1 = self._mix(m, self.first, self.in2), self._mix(m, self.second, self.in1)
-        free = (1 << SPACE) - (1 << LEAST)
-        self.space2 = np.where(self.known2, self.p2 * free >> 12, 0)
-        self.space1 = np.where(self.known1, self.p1 * (free - self.space2) >> 12, 0)
+        # Whatever the probabilities, each prediction has SOME of the space, and order 0 its own.
+        free = (1 << SPACE) - (1 << LEAST) - 2 * SOME
+        part2 = np.where(self.known2, self.p2 * free >> 12, 0)
+        self.space2 = part2 + SOME * self.known2
+        self.space1 = np.where(self.known1, (self.p1 * (free - part2) >> 12) + SOME, 0)
         self.begin0 = self.space2 + self.space1
         self.share = (1 << SPACE) - self.begin0
 

@@ -35,6 +35,29 @@ def test_blocks_round_trip():
     assert r.encode_blocks([]) == [] and r.decode_blocks([], []) == []
 
 
+def test_sure_predictions_that_fail_round_trip():
+    """Order 2 is nearly certain, order 1 nearly sure of being wrong, and then order 1 is right after all."""
+    draw, blocks = np.random.default_rng(11), []
+    for k in range(120):
+        cycle = draw.integers(0, 5, int(draw.integers(3, 12)))
+        ids = np.tile(cycle, 2048 // len(cycle))
+        at = draw.integers(600, len(ids), int(draw.integers(0, 40)))
+        ids[at] = draw.integers(0, 5, len(at))
+        blocks.append(ids * (1 + 1000 * (k % 3)))
+    coded = r.encode_blocks(blocks)
+    assert all((a == b).all() for a, b in zip(blocks, r.decode_blocks(coded, [len(b) for b in blocks]), strict=True))
+
+
+def test_every_prediction_has_some_of_the_space():
+    for right2, right1, weight in ((65535, 0, 1 << 20), (0, 65535, 1 << 20), (65535, 65535, 1 << 20), (0, 0, 1 << 20)):
+        lanes = r.Lanes(1, 64)
+        lanes.table1[0], lanes.table2[0] = 1 << 3 | r.SURE, 2 << 3 | r.SURE
+        lanes.right2[:], lanes.right1[:] = right2, right1
+        lanes.first, lanes.second = ([np.full(1, weight) for _ in w] for w in (r.FIRST_WEIGHTS, r.SECOND_WEIGHTS))
+        lanes.predict(1)
+        assert lanes.space1[0] >= r.SOME and lanes.space2[0] >= r.SOME and lanes.share[0] >= 1 << r.LEAST
+
+
 def test_counts_against_sums():
     draw = np.random.default_rng(2)
     for most in (1, 16, 17, 300, 5000):
