@@ -9,6 +9,9 @@ repeated after a loss commit it once, and no local path is needed. Its layout, a
     of each block: words, plain bits
 
 Ids are unsigned 32-bit integers. Each block of up to 2048 ids is coded afresh and can be read alone.
+
+Workers only tokenise; Spark's JVM writes and reads the files (TokenFiles.java). write_file() and read_file() do the same in NumPy,
+for programs without Spark. A file holds up to 2**29 ids, as a value of Spark's has 2 GB.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import jvm
 from .common import scratch, slices
 from .range_coder import BLOCK, decode_blocks, encode_blocks
 from .tokens import encoder
@@ -38,16 +42,20 @@ class Damaged(ValueError):
     """A file that does not hold what its checksums say."""
 
 
+def _listed(doc_ids: list[int | None], ids: list[bytes]) -> bytes:
+    """doc_id and number of ids of each document, as the tables have them."""
+    return np.array([[_NULL if d is None else d, len(x) // 4] for d, x in zip(doc_ids, ids, strict=True)], "<i8").tobytes()
+
+
 def write_file(doc_ids: list[int | None], ids: list[bytes], block: int = BLOCK) -> bytes:
     """One file of whole documents; `ids` are little-endian unsigned 32-bit integers."""
-    joined = b"".join(ids)
+    joined, listed = b"".join(ids), _listed(doc_ids, ids)
     flat = np.frombuffer(joined, "<u4").astype(np.int64)
     parts = [flat[i : i + block] for i in range(0, len(flat), block)]
     coded = encode_blocks(parts)
-    documents = np.array([[_NULL if d is None else d, len(x) // 4] for d, x in zip(doc_ids, ids, strict=True)], "<i8").reshape(-1, 2)
     sums = [[len(p), len(w), len(b), zlib.crc32(w + b, zlib.crc32(joined[4 * k * block : 4 * (k * block + len(p))]))] for k, (p, (w, b)) in enumerate(zip(parts, coded, strict=True))]
-    tables = zlib.compress(documents.tobytes() + np.array(sums, "<u4").tobytes())
-    head = _HEAD.pack(MAGIC, VERSION, len(documents), len(parts), len(flat), zlib.crc32(joined), len(tables))
+    tables = zlib.compress(listed + np.array(sums, "<u4").tobytes())
+    head = _HEAD.pack(MAGIC, VERSION, len(ids), len(parts), len(flat), zlib.crc32(joined), len(tables))
     return b"".join([head, tables, *[x for pair in coded for x in pair]])
 
 
@@ -82,11 +90,8 @@ def read_file(data: bytes) -> tuple[list[int | None], list[bytes]]:
     return [None if d == _NULL else d for d in documents[:, 0].tolist()], [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
-FILES = "part int, seq int, n_docs long, n_tokens long, data binary"
-
-
 def encode(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
-    """Files of all whole texts, in ascending (part, seq) order of doc_id; a null text counts as empty, null ids come first.
+    """part, seq, n_docs, n_tokens, data: files of all whole texts, in ascending (part, seq) order of doc_id; a null text counts as empty, null ids come first.
 
     A document has its end id at least. Rows that repeat are documents of their own. Ranges of doc_id are dealt to tasks,
     of which each writes its files one after the other, so a worker holds one file's ids at a time.
@@ -99,10 +104,9 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
         held, part = 0, 0
 
         def file() -> pa.RecordBatch:
-            data = write_file(doc_ids, ids)
-            values = [part, seq, len(ids), sum(map(len, ids)) // 4, data]
-            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["part", "seq", "n_docs", "n_tokens", "data"])
+            values = [part, seq, len(ids), sum(map(len, ids)) // 4, _listed(doc_ids, ids), b"".join(ids)]
+            types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=["part", "seq", "n_docs", "n_tokens", "listed", "ids"])
 
         for batch in slices(batches):
             texts = [x or "" for x in batch.column(1).to_pylist()]
@@ -118,23 +122,15 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ordered = narrow.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return ordered.withColumn("part", F.spark_partition_id()).mapInArrow(work, FILES)
+    found = ordered.withColumn("part", F.spark_partition_id()).mapInArrow(work, "part int, seq int, n_docs long, n_tokens long, listed binary, ids binary")
+    jvm.functions(docs.sparkSession, VERSION)
+    return found.select("part", "seq", "n_docs", "n_tokens", F.call_function(jvm.WRITE, "listed", "ids").alias("data"))
 
 
 def decode(files: DataFrame) -> DataFrame:
     """(part, seq, doc_id, at, n_tokens, ids_crc32) of each document in each file; `at` counts the ids before it in its file."""
-    names = ["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"]
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, seq, data in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                doc_ids, ids = read_file(data)
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
-                columns = [[part] * len(ids), [seq] * len(ids), doc_ids, np.cumsum(sizes) - sizes, sizes, [zlib.crc32(x) for x in ids]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
-
-    return files.select("part", "seq", "data").mapInArrow(work, "part int, seq int, doc_id long, at long, n_tokens long, ids_crc32 long")
+    jvm.functions(files.sparkSession, VERSION)
+    return files.select("part", "seq", F.inline(F.call_function(jvm.READ, "data")))
 
 
 def starts(files: DataFrame) -> DataFrame:
