@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import catalog, graph, requests, reviews, sampling, trajectory
+from skein.operators import catalog, graph, requests, reviews, sampling, tasks, trajectory
 from skein.plans.more import QUERIES, SQL
 from skein.sources import files
 from tests.test_reference import duck, one, plain  # noqa: F401
@@ -92,6 +92,18 @@ def test_paths_longer_than_the_tables_of_a_search(spark):
     assert found == [(1, [str(k) for k in range(n)])] * 2 + [(2, ["0"])]
 
 
+def test_expansion_is_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(tasks, "MEMBERS", 3)
+    members = [("a", k) for k in range(10)] + [("a", 3), ("a", None), ("b", 3), ("b", 50), ("c", 60), (None, 1), (None, 2)]
+    used = [(1, 3), (1, 3), (1, 4), (2, 50), (2, 60), (3, None), (4, 99), (None, 50)]
+    found = tasks.expand_by_cluster(spark.createDataFrame(used, "task_id long, api_id long"), spark.createDataFrame(members, "cluster_id string, api_id long"))
+    want = [(1, "a", k) for k in (0, 1, 2, 5, 6, 7, 8, 9, None)] + [(1, "b", 50), (2, "b", 3), (None, "b", 3), (None, "b", 50)]
+    assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+    # The expansion is the last step: no exchange stands above it.
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")
+
+
 def test_long_chains_and_cycles_of_parents(spark):
     chain = spark.range(300).selectExpr("1L AS task_id", "id AS node_id", "nullif(id - 1, -1) AS parent_id")
     assert trajectory.ancestors(chain).where("node_id = 299").count() == 300
