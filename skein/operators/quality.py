@@ -71,12 +71,11 @@ def cumulative_error(df: DataFrame, confidence: str, wrong: Column, thresholds:
 def threshold_for_recall(df: DataFrame, score: str, positive: Column, targets: list[float] | None = None) -> DataFrame:
     """target, threshold: the highest score of a positive row at which so large a share of positives scores as high; null scores are misses.
 
-    Positives aggregate by score before a running sum over their distinct scores.
+    Positives are read once: they aggregate by score before a running sum over their distinct scores, null the last of them.
     """
-    positives = df.where(positive)
-    total = positives.count()
-    by = positives.where(F.col(score).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
-    running = by.withColumn("_recall", F.sum("_n").over(Window.orderBy(F.desc(score))) / F.lit(max(total, 1)))
+    by = df.where(positive).groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
+    upto, total = F.sum("_n").over(Window.orderBy(F.desc_nulls_last(score))), F.sum("_n").over(Window.partitionBy())
+    running = by.withColumn("_recall", upto / total).where(F.col(score).isNotNull())
     wanted = F.explode(F.array(*map(F.lit, TARGETS if targets is None else targets))).alias("target")
     return running.select(score, "_recall", wanted).where("_recall >= target - 1e-12").groupBy("target").agg(F.max(score).alias("threshold"))
 

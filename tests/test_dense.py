@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import retrieval, vectorblocks
+from skein.operators import quality, retrieval, vectorblocks
+from skein.plans import more, queries
 
 
 def brute(rows, k, digits=6):
@@ -37,3 +38,29 @@ def test_vectors_of_one_group_are_searched_by_many_tasks(spark):
     df = spark.range(400).selectExpr("id", "array(sin(id), cos(id), sin(3 * id)) AS vec")
     found = retrieval.dense_topk(df, k=2, block=50)
     assert found.count() == 800 and "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def counted(spark, df, total):
+    """`df`, which adds the rows that are read of it to `total`."""
+
+    def pass_on(batches):
+        for b in batches:
+            total.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(pass_on, df.schema)
+
+
+@pytest.mark.parametrize("name", ["threshold_recall"])
+def test_neighbours_are_searched_once(spark, sf, monkeypatch, name):
+    total, search = spark.sparkContext.accumulator(0), retrieval.dense_topk
+    monkeypatch.setattr(retrieval, "dense_topk", lambda *a, **b: counted(spark, search(*a, **b), total))
+    (queries.QUERIES | more.QUERIES)[name](spark, sf).collect()
+    assert total.value == spark.read.parquet(f"{sf}/embeddings.parquet").count() * (30 if name == "pool_statistics" else 10)
+
+
+def test_summaries_read_their_rows_once(spark):
+    total = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([(k % 10 / 10, "ab"[k % 2]) for k in range(40)] + [(None, "a")] * 3, "score double, kind string")
+    found = {r.target: r.threshold for r in quality.threshold_for_recall(counted(spark, rows, total), "score", F.lit(True), [0.9, 0.5, 1.0]).collect()}
+    assert found == {0.9: 0.0, 0.5: 0.4} and total.value == 43
