@@ -260,7 +260,8 @@ def pool_statistics(spark, sf):
 
 @query(f"{oracle._REC} {oracle._COMPONENTS} SELECT root, string_agg(decision_id, ',' ORDER BY decision_id) AS decisions FROM decisions JOIN labels ON id = left_id WHERE relation = 'interchangeable' GROUP BY 1")
 def cluster_support(spark, sf):
-    rows = reviews.cluster_support(base.decisions(spark, sf), base.component_labels(spark, sf))
+    decided = base.decisions(spark, sf)
+    rows = reviews.cluster_support(decided, base.component_labels(spark, sf, decided))
     return rows.select("root", F.array_join("decisions", ",").alias("decisions"))
 
 
