@@ -30,12 +30,15 @@ def quantiles(df: DataFrame, value: str, *keys: str) -> DataFrame:
 
 
 def upper_median(df: DataFrame, value: str, *keys: str) -> DataFrame:
-    """n, missing, min, the upper of the two middle values, and max."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    known = df.where(F.col(value).isNotNull()).withColumn("_rn", F.row_number().over(order)).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    middle = known.groupBy(*keys).agg(F.max(F.when(F.col("_rn") == F.floor(F.col("_n") / 2) + 1, F.col(value))).alias("upper_median"))
-    rows = df.groupBy(*keys).agg(F.count(value).alias("n"), F.count_if(F.col(value).isNull()).alias("missing"), F.min(value).alias("min"), F.max(value).alias("max"))
-    return rows.join(middle, list(keys), "left")
+    """n, missing, min, the upper of the two middle values, and max.
+
+    Rows aggregate by value before a running count over the distinct values of a key.
+    """
+    by = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    known, whole = F.when(F.col(value).isNotNull(), F.col("_n")).otherwise(0), Window.partitionBy(*keys)
+    ranked = by.withColumn("_upto", F.sum(known).over(whole.orderBy(value))).withColumn("_known", F.sum(known).over(whole))
+    middle = F.col(value).isNotNull() & (F.col("_upto") >= F.floor(F.col("_known") / 2) + 1)
+    return ranked.groupBy(*keys).agg(F.sum(known).alias("n"), F.sum(F.col("_n") - known).alias("missing"), F.min(value).alias("min"), F.max(value).alias("max"), F.min(F.when(middle, F.col(value))).alias("upper_median"))
 
 
 def histogram(df: DataFrame, score: str, relation: str, relations: list[str], edges: list[float] | None = None, wrong: Column | None = None) -> DataFrame:

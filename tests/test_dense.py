@@ -51,7 +51,7 @@ def counted(spark, df, total):
     return df.mapInArrow(pass_on, df.schema)
 
 
-@pytest.mark.parametrize("name", ["threshold_recall", "cluster_support"])
+@pytest.mark.parametrize("name", ["threshold_recall", "cluster_support", "score_by_relation_upper_median"])
 def test_neighbours_are_searched_once(spark, sf, monkeypatch, name):
     total, search = spark.sparkContext.accumulator(0), retrieval.dense_topk
     monkeypatch.setattr(retrieval, "dense_topk", lambda *a, **b: counted(spark, search(*a, **b), total))
@@ -62,5 +62,7 @@ def test_neighbours_are_searched_once(spark, sf, monkeypatch, name):
 def test_summaries_read_their_rows_once(spark):
     total = spark.sparkContext.accumulator(0)
     rows = spark.createDataFrame([(k % 10 / 10, "ab"[k % 2]) for k in range(40)] + [(None, "a")] * 3, "score double, kind string")
+    median = {r.kind: tuple(r)[1:] for r in quality.upper_median(counted(spark, rows, total), "score", "kind").collect()}
+    assert median == {"a": (20, 3, 0.0, 0.8, 0.4), "b": (20, 0, 0.1, 0.9, 0.5)} and total.value == 43
     found = {r.target: r.threshold for r in quality.threshold_for_recall(counted(spark, rows, total), "score", F.lit(True), [0.9, 0.5, 1.0]).collect()}
-    assert found == {0.9: 0.0, 0.5: 0.4} and total.value == 43
+    assert found == {0.9: 0.0, 0.5: 0.4} and total.value == 86
