@@ -85,10 +85,11 @@ def neighbor_summary(neighbors: DataFrame, *flags: Column) -> DataFrame:
 
 
 def pool_statistics(pool: DataFrame) -> DataFrame:
-    """(method, pairs) for each method, and `several` for pairs that more than one found."""
-    by = pool.groupBy("method").agg(F.countDistinct("pair_id").alias("pairs"))
-    several = pool.groupBy("pair_id").agg(F.countDistinct("method").alias("_m")).where("_m > 1").agg(F.count(F.lit(1)).alias("pairs"))
-    return by.unionByName(several.withColumn("method", F.lit("several")))
+    """(method, pairs) for each method, and `several` for pairs that more than one found. The pool is read once."""
+    found = pool.select("pair_id", "method").distinct().groupBy("pair_id").agg(F.collect_list("method").alias("_m")).groupBy(F.array_sort("_m").alias("_m")).agg(F.count(F.lit(1)).alias("_n"))
+    names = F.when(F.size("_m") > 1, F.array_append("_m", F.lit("several"))).otherwise(F.col("_m"))
+    rows = found.select(F.explode(names).alias("method"), F.col("_n")).unionByName(pool.sparkSession.range(1).select(F.lit("several").alias("method"), F.lit(0).cast("long").alias("_n")))
+    return rows.groupBy("method").agg(F.sum("_n").alias("pairs"))
 
 
 def cluster_support(decisions: DataFrame, labels: DataFrame) -> DataFrame:

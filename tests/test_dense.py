@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skein.operators import quality, retrieval, vectorblocks
+from skein.operators import quality, retrieval, reviews, vectorblocks
 from skein.plans import more, queries
 
 
@@ -51,7 +51,7 @@ def counted(spark, df, total):
     return df.mapInArrow(pass_on, df.schema)
 
 
-@pytest.mark.parametrize("name", ["threshold_recall", "cluster_support", "score_by_relation_upper_median"])
+@pytest.mark.parametrize("name", ["threshold_recall", "cluster_support", "score_by_relation_upper_median", "pool_statistics"])
 def test_neighbours_are_searched_once(spark, sf, monkeypatch, name):
     total, search = spark.sparkContext.accumulator(0), retrieval.dense_topk
     monkeypatch.setattr(retrieval, "dense_topk", lambda *a, **b: counted(spark, search(*a, **b), total))
@@ -66,3 +66,6 @@ def test_summaries_read_their_rows_once(spark):
     assert median == {"a": (20, 3, 0.0, 0.8, 0.4), "b": (20, 0, 0.1, 0.9, 0.5)} and total.value == 43
     found = {r.target: r.threshold for r in quality.threshold_for_recall(counted(spark, rows, total), "score", F.lit(True), [0.9, 0.5, 1.0]).collect()}
     assert found == {0.9: 0.0, 0.5: 0.4} and total.value == 86
+    pool = spark.createDataFrame([("p", "bm25"), ("p", "dense"), ("q", "dense"), ("q", "dense")], "pair_id string, method string")
+    assert {tuple(r) for r in reviews.pool_statistics(counted(spark, pool, total)).collect()} == {("bm25", 1), ("dense", 2), ("several", 1)} and total.value == 90
+    assert {tuple(r) for r in reviews.pool_statistics(pool.where("pair_id = 'q'")).collect()} == {("dense", 1), ("several", 0)}
