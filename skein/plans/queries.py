@@ -149,10 +149,10 @@ def latest_event_wins(spark, sf):
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """Distinct pairs of near vectors with the labels of both sides."""
+    """Distinct pairs of near vectors with the labels of both sides. They are written before anything joins or reads them twice: a second search costs as much again."""
     near = dense_knn_global(spark, sf)
     a, b = F.col("source"), F.col("neighbor")
-    pairs = near.groupBy(F.least(a, b).alias("left_id"), F.greatest(a, b).alias("right_id")).agg(F.max("score").alias("score"))
+    pairs = graph.cut(near.groupBy(F.least(a, b).alias("left_id"), F.greatest(a, b).alias("right_id")).agg(F.max("score").alias("score")))
     v = vectors(spark, sf)
     left, right = (v.select(F.col("id").alias(f"{s}_id"), F.col("label").alias(f"{s}_label")) for s in ("left", "right"))
     return pairs.join(left, "left_id").join(right, "right_id").withColumn("pair_id", ids.pair_id(F.col("left_id"), F.col("right_id")))

@@ -51,7 +51,7 @@ def counted(spark, df, total):
     return df.mapInArrow(pass_on, df.schema)
 
 
-@pytest.mark.parametrize("name", ["threshold_recall", "cluster_support", "score_by_relation_upper_median", "pool_statistics"])
+@pytest.mark.parametrize("name", ["threshold_recall", "cluster_support", "score_by_relation_upper_median", "pool_statistics", "unordered_pair_regression", "review_queue", "infer_relations", "confidence_exact"])
 def test_neighbours_are_searched_once(spark, sf, monkeypatch, name):
     total, search = spark.sparkContext.accumulator(0), retrieval.dense_topk
     monkeypatch.setattr(retrieval, "dense_topk", lambda *a, **b: counted(spark, search(*a, **b), total))
